@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, mixing, url_filter
+from kelvane.llm import exact, mixing, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
     }
