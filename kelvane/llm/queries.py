@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, mixing, simhash, url_filter
+from kelvane.llm import exact, mixing, packing, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
+        "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
     }
 
