@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, mixing, packing, simhash, url_filter
+from kelvane.llm import exact, mixing, packing, simhash, substring, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
+        "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
 
