@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, mixing, packing, simhash, substring, url_filter
+from kelvane.llm import exact, mixing, packing, simhash, sketch, substring, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_fingerprints": sketch.op3_fingerprints,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
