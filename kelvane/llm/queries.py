@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, mixing, packing, simhash, sketch, substring, url_filter
+from kelvane.llm import exact, mixing, packing, simhash, sketch, substring, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_fingerprints": sketch.op3_fingerprints,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
