@@ -48,14 +48,16 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epo
     )
 
 
-def mix(docs: DataFrame, size: Column, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: Column, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, whole, part, taken: how much of each row the mix takes.
 
     ``whole`` repetitions of the document and ``part`` further words of it make ``taken`` words. The taken
     words of a source differ from its target by less than one word, and rows of equal doc_id are interchangeable.
-    Null doc_id counts as an id of its own; an empty table gives an empty result; other columns of ``docs`` are ignored.
+    Null doc_id counts as an id of its own; an empty table gives an empty result; other columns of ``docs`` are ignored, or kept
+    as one struct column ``row`` with ``carry``.
     """
-    rows = docs.select("doc_id", "source", size.alias("size")).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select("doc_id", "source", size.alias("size"), *row).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").cast("long").alias("source_size")), weights, budget, max_epochs)
     prior = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -72,10 +74,20 @@ def mix(docs: DataFrame, size: Column, *, weights=WEIGHTS, budget: float = BUDGE
         .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - F.col("prior") - F.col("inside"))).cast("long"))
         .withColumn("whole", (F.col("reps") + ((F.col("extra") == F.col("size")) & (F.col("size") > 0)).cast("long")).cast("long"))
         .withColumn("part", F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(F.lit(0)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(["row"] if carry else []))
     )
 
 
+def repeated(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, and once more with the first words of its text for a part."""
+    mixed = mix(docs, word_count(F.col(f"`{text}`")), carry=True, **options)
+    words = F.filter(F.split(F.col(f"row.`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    first = F.when(F.col("part") > 0, F.array(F.col("row").withField(f"`{text}`", F.array_join(F.slice(words, 1, F.col("part").cast("int")), " "))))
+    # A row without words counts for nothing in the mix; it stays as it is.
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("whole")).cast("int")
+    return mixed.select(F.explode(F.concat(F.array_repeat("row", times), F.coalesce(first, F.filter(F.array("row"), lambda r: F.lit(False))))).alias("row")).select("row.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -177,9 +177,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, threshold
     as toxic if one of them says so. Without labels of both kinds the score is 0, or 1 if all are 1. An empty table gives an empty result.
     """
     model, calibrated, lexicon = fit(docs, labels, label, **options)
-    held = [F.col(c).alias(f"k_{i}") for i, c in enumerate(keep or [])]
+    others = [c for c in keep or [] if c != "text"]
+    held = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(others)]
     rows = docs.select(F.col("doc_id").alias("t_id"), held_out(F.col("doc_id")).alias("t_out"), F.col("text").alias("t_text"), *held)
-    columns = [c for c in rows.columns if c != "t_text"]
+    columns = [c for c in rows.columns if c != "t_text" or "text" in (keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lexicon)
@@ -191,9 +192,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, threshold
                 p = calibrated.predict(model.raw(x))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*columns, "t_score", "t_predicted"])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "t_text")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in columns)
     out = rows.mapInArrow(run, f"{kinds}, t_score double, t_predicted int")
-    return out.select(F.col("t_id").alias("doc_id"), F.col("t_out").alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"), *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep or [])])
+    source = {c: f"k_{i}" for i, c in enumerate(others)} | {"text": "t_text"}
+    return out.select(F.col("t_id").alias("doc_id"), F.col("t_out").alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"), *[F.col(source[c]).alias(c) for c in keep or [] if c != "doc_id"])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
