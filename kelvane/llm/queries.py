@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kelvane.llm import exact, lines, mixing, packing, simhash, sketch, substring, toxicity, url_filter
+from kelvane.llm import cotrain, exact, lines, mixing, packing, simhash, sketch, substring, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lines.op1_line_dedup,
+        "op2_quality": cotrain.op2_quality,
         "op3_fingerprints": sketch.op3_fingerprints,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": url_filter.op5_url_filter,
