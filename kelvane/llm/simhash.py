@@ -164,7 +164,7 @@ def _walker(budget: int, width: int, earlier: dict[int, list[int]], payload: int
                     once &= ~at | (diff & np.uint64(part) != 0)
             i, j = i[once], j[once]
             if most is not None:
-                near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= most
+                near = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words) <= most
                 i, j = i[near], j[near]
             yield from zip(node[i].tolist(), node[j].tolist(), strict=True)
 
