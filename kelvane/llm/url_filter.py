@@ -65,14 +65,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     """
     scratch = scratch or Scratch(seeds.sparkSession)
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out_n"))
-    step = scratch.keep(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out_n")).alias("p")))
+    step = scratch.keep(edges.join(out, ["kind", "src"]).select(F.col("kind").alias("s_kind"), "src", "dst", (F.col("n") / F.col("out_n")).alias("p")))
     seeds = scratch.keep(seeds)
     score = seeds.withColumnRenamed("seed", "score")
     if step.isEmpty():
         return score.withColumn("score", (1 - damping) * F.col("score"))
     base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
     for r in range(rounds):
-        flow = score.join(step, (score["kind"] == step["kind"]) & (score["host"] == step["src"])).select(step["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("p")).alias("score"))
+        flow = score.join(step, (F.col("kind") == F.col("s_kind")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("p")).alias("score"))
         score = base.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if r % 4 == 3 or r == rounds - 1:
             score = scratch.keep(score)
