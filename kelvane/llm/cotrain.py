@@ -126,10 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: i
     if held_out is not None:
         known = known.where(~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.min("label").alias("label"))
-    million = F.lit(1_000_000)
-    chosen = known.where(F.pmod(F.xxhash64("l_id"), million) < int(1e6 * min(1.0, sample / max(1, known.count()))))
+    fine = F.lit(10**12)
+    chosen = known.where(F.pmod(F.xxhash64("l_id"), fine) < int(1e12 * min(1.0, sample / max(1, known.count()))))
     names = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    some = names.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), million) < int(1e6 * min(1.0, pool / max(1, docs.count()))))
+    some = names.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), fine) < int(1e12 * min(1.0, pool / max(1, docs.count()))))
     # Both sides' ids are bounded by sample; the pool's rows without a label are the unlabelled ones.
     labelled = names.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).drop("l_id")
     rest = some.join(F.broadcast(chosen.select("l_id")), F.col("doc_id") == F.col("l_id"), "left_anti").withColumn("label", F.lit(-1))

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int
     known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.max("label").alias("label"))
     rate = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("l_id"), F.lit(1_000_000)) < int(1_000_000 * rate))
+    chosen = known.where(F.pmod(F.xxhash64("l_id"), F.lit(10**12)) < int(10**12 * rate))
     # The sample's bound is documented above, so its ids can be broadcast.
     train = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "label", F.pmod(F.xxhash64("l_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")))
     classes = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
