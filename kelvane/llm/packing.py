@@ -55,20 +55,33 @@ class WordIds:
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.bound:
+        try:
+            ids = b"".join(map(known.__getitem__, words))
+        except KeyError:
+            self._learn(set(words))
+            ids = b"".join(map(known.__getitem__, words))
+            if len(known) > self.bound:
                 known.clear()
                 known[""] = b""
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        ids = b"".join(map(known.__getitem__, words))
-        if len(known) > 2 * self.bound:  # one text of very many words
-            known.clear()
-            known[""] = b""
         return np.frombuffer(ids, "<u4")
 
+    def _learn(self, words: set[str]) -> None:
+        """A word of letters before one full stop or comma has the ids of both, and A-Z those of a-z: the tokenizer parts and lower-cases them itself."""
+        known = self.known
+        forms = []
+        for w in words:
+            if w not in known:
+                base = w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w
+                low = base.lower() if base.isascii() and base.isalpha() else base
+                forms.append((w, low, w[len(base) :]))
+        new = list({x for _, low, tail in forms for x in (low, tail) if x not in known})
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, low, tail in forms:
+            if w not in known:
+                known[w] = known[low] + known[tail]
+
 
 def pieces(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each row's ids and the end id, cut at multiples of the window."""
