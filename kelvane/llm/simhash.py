@@ -151,16 +151,16 @@ def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int, width: int = 6
             yield compared(*(np.array([x]) for x in (at, min(a1, at + step), b0, b1)))
 
 
-def _walker(budget: int, width: int, earlier: dict[int, list[int]], payload: int, most: int | None):
-    def pairs(table: np.ndarray, mask: np.ndarray, value: np.ndarray, key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[int, int]]:
-        new = np.flatnonzero((table[1:] != table[:-1]) | (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
+def _walker(budget: int, width: int, earlier: list[list[int]], payload: int, most: int | None):
+    def pairs(table: np.ndarray, branch: np.ndarray, value: np.ndarray, key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[int, int]]:
+        new = np.flatnonzero((table[1:] != table[:-1]) | (branch[1:] != branch[:-1]) | (value[1:] != value[:-1])) + 1
         bounds = np.concatenate([[0], new, [len(key)]])
         for i, j in trie_pairs(key.view(np.uint64) ^ np.uint64(1 << 63), bounds, budget, width):
             diff = (key[i] ^ key[j]).view(np.uint64)
             once = np.ones(len(i), bool)
-            for m in np.unique(mask[i]):  # a pair counts in the first of the blocks that it agrees on
-                at = mask[i] == m
-                for part in earlier[int(m) & FULL]:
+            for b in np.unique(branch[i]):  # a pair counts in the first of the blocks that it agrees on
+                at = branch[i] == b
+                for part in earlier[int(b)]:
                     once &= ~at | (diff & np.uint64(part) != 0)
             i, j = i[once], j[once]
             if most is not None:
@@ -197,29 +197,29 @@ def trie_links(rows: DataFrame, budget: int = BUDGET, limit: int = LIMIT, width:
     """
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     words = [c for c in rows.columns if c not in ("t_table", "key", "node")]
-    level: dict[int, list[int]] = {0: []}  # mask -> parts of which a pair must differ in each
-    open_rows, out = rows.withColumn("mask", F.lit(0).cast("long")), None
+    # Branches by number: the mask of agreed bits and the parts of which a pair must differ in each. Two branches may have the same mask.
+    level: list[tuple[int, list[int]]] = [(0, [])]
+    open_rows, out = rows.withColumn("branch", F.lit(0)), None
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        nexts, moves = {}, {}
-        for mask, before in level.items():
+        nexts = []
+        for mask, before in level:
             parts = split_mask(mask, budget + 1, width)
-            for i, part in enumerate(parts):
-                nexts[mask | part] = [*before, *parts[:i]]
-            moves[mask] = [mask | p for p in parts]
-        child = F.create_map(*[x for m, c in moves.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in c]))])
-        keyed = open_rows.select("t_table", F.explode(F.element_at(child, F.col("mask"))).alias("mask"), "key", "node", *words).withColumn("value", F.col("key").bitwiseAND(F.col("mask")))
-        crowded = keyed.groupBy("t_table", "mask", "value").count().where(F.col("count") > limit).select("t_table", "mask", "value")
+            nexts += [(mask | part, [*before, *parts[:i]]) for i, part in enumerate(parts)]
+        masks = F.array(*[F.lit(signed(m)) for m, _ in nexts])
+        child = F.explode(F.array(*[F.col("branch") * (budget + 1) + i for i in range(budget + 1)]))
+        keyed = open_rows.select("t_table", child.alias("branch"), "key", "node", *words).withColumn("value", F.col("key").bitwiseAND(F.element_at(masks, F.col("branch") + 1)))
+        crowded = keyed.groupBy("t_table", "branch", "value").count().where(F.col("count") > limit).select("t_table", "branch", "value")
         # Below about this many open bits there is nothing left to deal out by.
-        left = width - min(bin(m).count("1") for m in nexts)
+        left = width - min(bin(m).count("1") for m, _ in nexts)
         more = left > 3 * (budget + 1) and not crowded.isEmpty()
-        on = ["t_table", "mask", "value"]
+        on = ["t_table", "branch", "value"]
         calm = keyed.join(crowded, on, "left_anti") if more else keyed
-        found = calm.select(*on, "key", "node", *words).repartition(n, *on).sortWithinPartitions(*on, "key").mapInArrow(_walker(budget, width, nexts, len(words), most), "src long, dst long")
+        found = calm.select(*on, "key", "node", *words).repartition(n, *on).sortWithinPartitions(*on, "key").mapInArrow(_walker(budget, width, [e for _, e in nexts], len(words), most), "src long, dst long")
         out = found if out is None else out.unionByName(found)
         if not more:
             return out
-        open_rows, level = keyed.join(crowded, on, "left_semi").select("t_table", "key", "node", *words, "mask"), nexts
+        open_rows, level = keyed.join(crowded, on, "left_semi").select("t_table", "key", "node", *words, "branch"), nexts
 
 
 def members(links: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from kelvane.llm import cotrain, exact, lines, mixing, models, packing, simhash, sketch, substring, toxicity, url_filter
+from kelvane.llm import cotrain, exact, graph, lines, mixing, models, packing, simhash, sketch, substring, toxicity, url_filter
+from kelvane.llm.common import Scratch
 from kelvane.llm.words import WordHashes
 
 #: Nulls, empty and blank texts, ties, a very long text, repeated rows.
@@ -64,6 +65,23 @@ def test_trie_against_all_pairs():
         assert len(got) == len(want) and set(got) == want
 
 
+def test_trie_links_of_crowded_groups(spark):
+    rng = np.random.default_rng(4)
+    for width, budget, bits in ((64, 2, range(45, 64)), (64, 2, range(19)), (32, 3, range(8, 22))):
+        base, bits = int(rng.integers(0, 2**62)) & ((1 << width) - 1), list(bits)
+        keys = {base ^ 1 << b for b in bits} | {base} | {base ^ sum(1 << int(b) for b in rng.choice(bits, 7, replace=False)) for _ in range(150)}
+        keys = sorted(k - (1 << 64) if k >> 63 else k for k in keys)
+        table = Scratch(spark).keep(spark.createDataFrame([(0, k, i) for i, k in enumerate(keys)], "t_table int, key long, node long"))
+        got = [(r.src, r.dst) for r in simhash.trie_links(table, budget, 4, width).collect()]
+        codes = np.array(keys, np.int64).view(np.uint64)
+        want = [(x, int(y)) for x in range(len(keys)) for y in np.flatnonzero(np.bitwise_count(codes[x] ^ codes[x + 1 :]) <= budget) + x + 1]
+
+        def roots(pairs):
+            return {x: min(x, y) for star in graph.contract(iter(pairs)) for x, y in star}
+
+        assert want and roots(got) == roots(want)
+
+
 def test_near_copies(spark, empty):
     random.seed(2)
     text = [f"w{random.randrange(5000)}" for _ in range(400)]
