@@ -256,57 +256,204 @@ def one_of_each(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     return keyed.join(stays, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def wide_fingerprints(docs: DataFrame, k: int, tables: int, text: str) -> DataFrame:
-    """(d, h, w array<long>): SimHash of the set of k-word shingles in 32 bits per table, two tables to a long."""
-    longs = tables // 2
+def shingle_sets(hashes: WordHashes, text: bytes | None, k: int) -> np.ndarray:
+    """Ascending different hashes of the k-word shingles; of fewer words, of them all; without words none."""
+    words = hashes((text or b"").lower().split())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    at = np.arange(max(1, len(words) - k + 1))
+    return np.unique(Rolling(words).runs(at, at + min(k, len(words))))
+
+
+def wide_fingerprints(docs: DataFrame, k: int, longs: int, short: int, similarity: float, text: str) -> DataFrame:
+    """(d, h, node, size, w array<long>, prefix array<long>) of each row's set of k-word shingles.
+
+    node is a hash of the whole set and size its number of shingles; w is its SimHash of 64 bits a long. Of sets of at most ``short`` shingles prefix has
+    the least size - ceil(similarity * size) + 1, of which two sets of that similarity share one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         salt = mix64(np.arange(1, longs + 1, dtype=np.uint64))
         for batch in batches:
             out = np.zeros((len(batch), longs), np.uint64)
+            node, size, prefix = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int32), []
             held: list[np.ndarray] = []
             whose: list[int] = []
+            many = 0
             for row, t in enumerate(batch.column(2)):
-                words = hashes((t.as_py() or b"").lower().split())
-                if len(words):
-                    at = np.arange(max(1, len(words) - k + 1))
-                    held.append(np.unique(Rolling(words).runs(at, at + min(k, len(words)))))
+                grams = shingle_sets(hashes, t.as_py(), k)
+                n = size[row] = len(grams)
+                node[row] = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+                prefix.append(grams[: prefix_length(n, similarity)].view(np.int64) if 0 < n <= short else grams[:0].view(np.int64))
+                if n:
+                    held.append(grams)
                     whose.append(row)
-                if held and (row == len(batch) - 1 or sum(map(len, held[-64:])) > 60_000 or len(held) >= 400):
-                    grams, starts = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held[:-1]])]).astype(np.int64)
+                    many += n
+                if held and (row == len(batch) - 1 or many > 60_000):
+                    starts = np.concatenate([[0], np.cumsum([len(x) for x in held[:-1]])]).astype(np.int64)
+                    all_grams = np.concatenate(held)
                     for column, x in enumerate(salt):
-                        out[whose, column] = majority(mix64(grams ^ x), starts)
-                    held, whose = [], []
+                        out[whose, column] = majority(mix64(all_grams ^ x), starts)
+                    held, whose, many = [], [], 0
             w = pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), longs).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), w], ["d", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(size), w, pa.array(prefix, pa.list_(pa.int64()))], ["d", "h", "node", "size", "w", "prefix"])
+
+    return docs.select("d", "h", F.col(text).cast("binary").alias("text")).mapInArrow(run, "d long, h long, node long, size int, w array<long>, prefix array<long>")
 
-    return docs.select("d", "h", F.col(text).cast("binary").alias("text")).mapInArrow(run, "d long, h long, w array<long>")
+
+def least_common(size: int, similarity: float) -> int:
+    """Shingles of a set of this size that a set of this Jaccard similarity has too, at least."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    return size - least_common(size, similarity) + 1
 
 
 def most_bits(similarity: float, bits: int) -> int:
-    """Bits that texts of this Jaccard similarity differ in on average, and one standard deviation more.
+    """Bits that texts of this Jaccard similarity differ in on average, and five standard deviations more.
 
-    The cosine of equally large sets is 2 J / (1 + J), and a bit differs with the angle's share of a half turn.
+    The cosine of equally large sets is 2 J / (1 + J), and a bit differs with the angle's share of a half turn. Majorities of few shingles
+    differ more often; at most a quarter more at similarity 0.8 (4 shingles against these and one more: 0.1875 instead of 0.1515).
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    p = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables: int = 12, budget: int = 3, limit: int = LIMIT, text: str = "text") -> DataFrame:
+def _groups(group: int):
+    """Batches of rows sorted by the column of that number -> tables of one group each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            own = batch.column(group).to_numpy()
+            if not len(own):
+                continue
+            at = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if held and held[-1].column(group)[0].as_py() != own[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    return run
+
+
+def _shared_prefix(longs: int, most: int):
+    """Rows (prefix, node, longs), sorted by prefix -> stars of the pairs of a prefix that differ in at most ``most`` bits."""
+
+    def links(prefix: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(prefix)]])
+        shared = np.flatnonzero(np.diff(at) > 1)
+        for a, b in zip(at[shared].tolist(), at[shared + 1].tolist(), strict=True):
+            label = np.arange(a, b)
+            for i in range(1, b - a):  # what is connected already needs no further link
+                near = sum(np.bitwise_count((w[a : a + i] ^ w[a + i]).view(np.uint64)).astype(np.int64) for w in words) <= most
+                for x in np.unique(label[:i][near]).tolist():
+                    yield int(node[a + i]), int(node[x])
+                    label[label == x] = label[i]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        held = [np.zeros(0, np.int64)] * (2 + longs)
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
+            if len(last):  # the last group may go on in the next batch
+                yield from links(*(h[: last[-1] + 1] for h in held))
+                held = [h[last[-1] + 1 :] for h in held]
+        yield from links(*held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in contract(pairs(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["src", "dst"])
+
+    return run
+
+
+def similar(sets: list[np.ndarray], words: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Labels of the components of all pairs of ascending sets whose Jaccard similarity is at least that, among pairs within ``most`` bits.
+
+    Pairs that are connected already need no comparison, so that a group of copies costs one comparison a row.
+    """
+    size = np.array([len(s) for s in sets])
+    label = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        ratio = np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]) - 1e-9
+        bits = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(ratio & (bits <= most))
+        near = near[np.argsort(bits[near], kind="stable")]
+        while len(near):
+            near = near[label[near] != label[i]]
+            some, near = near[:16], near[16:]
+            if not len(some):
+                break
+            other = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+            common = np.add.reduceat(sets[i][at] == other, np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+            for j in some[common >= similarity * (size[some] + size[i] - common) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+    return label
+
+
+def _verified(k: int, similarity: float, most: int):
+    """Rows (root, node, w, text), sorted by root -> (src, dst) stars of the nodes of a root that are alike by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def with_sets() -> Iterator[pa.RecordBatch]:  # texts are let go as they are read
+            for batch in batches:
+                sets = pa.array([shingle_sets(hashes, t.as_py(), k).view(np.int64) for t in batch.column(3)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], ["root", "node", "w", "set"])
+
+        for group in _groups(0)(with_sets()):
+            node = group.column(1).to_numpy()
+            words = np.array(group.column(2).combine_chunks().flatten()).reshape(len(node), -1).view(np.uint64)
+            sets = [x.values.to_numpy().view(np.uint64) for x in group.column(3)]
+            label = similar(sets, words, similarity, most)
+            first: dict[int, int] = {}
+            src, dst = [], []
+            for x, y in zip(node.tolist(), label.tolist(), strict=True):
+                if first.setdefault(y, x) != x:
+                    src.append(x)
+                    dst.append(first[y])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables: int = 20, budget: int = 3, limit: int = LIMIT, text: str = "text", short: int = 100, carried: int = 3) -> DataFrame:
     """(d, h, component_d, root) per different row: the smallest d of the texts that links reach; root is equal within a component only.
 
-    A text's fingerprint has 32 bits per table; texts are linked when their whole fingerprints differ in no more than ``most_bits`` for the given
-    Jaccard similarity, and one table's bits differ in at most ``budget``, which 12 tables miss for one pair in 50 at
-    similarity 0.8 and one in 500 at 0.85. d is doc_id, the largest long for null; h is a hash of the text.
+    Texts are linked when the Jaccard similarity of their sets of k-word shingles is at least ``similarity``, verified on the sets. Candidates for it are:
+    of texts of which one has at most ``short`` shingles, all pairs that share a shingle of their prefixes, which no similar pair lacks; of longer ones, pairs of which
+    one table's 32 bits differ in at most ``budget``, which 20 tables miss for one pair in 700 at similarity 0.8. Both must also be within ``most_bits``, five
+    standard deviations, on ``carried`` longs of the fingerprint. Components of candidates are verified in one task each, which holds
+    their sets. d is doc_id, the largest long for null; h is a hash of the text.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, longs = Scratch(docs.sparkSession), tables // 2
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(text).alias("text"))
-    rows = scratch.keep(wide_fingerprints(keyed, k, tables, "text").withColumn("node", F.xxhash64("w")))
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("d").alias("least"), F.first("w").alias("w")))  # equal nodes have equal w
+    with_prefix = math.ceil(short / similarity)
+    rows = scratch.keep(wide_fingerprints(keyed, k, longs, with_prefix, similarity, "text"))
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct("d", "h")).alias("first"), F.first("size").alias("size"), F.first("w").alias("w"), F.first("prefix").alias("prefix")))
     key = lambda t: F.shiftrightunsigned(F.element_at("w", t // 2 + 1), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    each = nodes.select(F.posexplode(F.array(*[key(t) for t in range(tables)])).alias("t_table", "key"), "node", *[F.element_at("w", i + 1).alias(f"w{i}") for i in range(tables // 2)])
-    label = members(trie_links(each, budget, limit, 32, most_bits(similarity, 32 * tables)), nodes.select("node", "least"), scratch)
+    some = [F.element_at("w", i + 1).alias(f"w{i}") for i in range(carried)]
+    bits = most_bits(similarity, 64 * carried)
+    each = nodes.where(F.col("size") > short).select(F.posexplode(F.array(*[key(t) for t in range(tables)])).alias("t_table", "key"), "node", *some)
+    long_links = trie_links(each, budget, limit, 32, bits)
+    by_prefix = nodes.select(F.explode("prefix").alias("p"), "node", *some)
+    short_links = by_prefix.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_shared_prefix(carried, bits), "src long, dst long")
+    roots = components(long_links.unionByName(short_links), scratch)
+    candidates = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    wanted = candidates.join(nodes.select("node", "first.d", "first.h", "w"), "node")
+    texts = wanted.join(keyed.select("d", "h", "text"), ["d", "h"]).dropDuplicates(["node"]).select("root", "node", "w", F.col("text").cast("binary").alias("text"))
+    links = texts.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_verified(k, similarity, most_bits(similarity, 64 * longs)), "src long, dst long")
+    label = members(scratch.keep(links), nodes.select("node", F.col("first.d").alias("least")), scratch)
     return rows.select("d", "h", "node").join(label, F.col("node") == F.col("l_node")).select("d", "h", F.col("component_id").alias("component_d"), "root").distinct()
 
 

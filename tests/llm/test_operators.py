@@ -93,6 +93,23 @@ def test_near_copies(spark, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_near_copies_at_the_threshold(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    many = []
+    for n in (4, 8, 9, 12, 16, 40, 99, 110, 300, 900):
+        for share in (0.5, 0.7, 0.78, 0.79, 0.8, 0.81, 0.83, 0.9):
+            for cut in (False, True):  # J = common / (common + left + right)
+                base = [word() for _ in range(n + 4)]  # n shingles
+                left = max(1, round(n * (1 - share))) if cut else max(1, round(n * (1 - share) / (1 + share)))
+                other = [*base[:-left], *([] if cut else [word() for _ in range(left)])]
+                many += [(len(many), " ".join(base)), (len(many) + 1, " ".join(other))]
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))) for _, t in many]
+    gone = {b for b in range(1, len(many), 2) if 5 * len(sets[b - 1] & sets[b]) >= 4 * len(sets[b - 1] | sets[b])}
+    kept = {r.doc_id for r in simhash.one_of_each(docs(spark, many)).collect()}
+    assert len(gone) > 40 and kept == {i for i, _ in many} - gone
+
+
 def test_substring(spark, empty):
     random.seed(3)
     many = [(i, " ".join(random.choice(random.choice(["a", "ab", "abcdefghijk"])) for _ in range(random.choice([0, 20, 34, 35, 36, 60, 120])))) for i in range(120)]
