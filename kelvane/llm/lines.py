@@ -64,7 +64,7 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 _L, _I, _S = pa.int64(), pa.int32(), pa.string()
 
 
-def _occurrences(min_chars: int):
+def _occurrences(min_chars: int, short: bool):
     fields = [("d", _L), ("h", _L), ("i", _I), ("l1", _L), ("l2", _L), ("k", pa.list_(_L))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +72,9 @@ def _occurrences(min_chars: int):
             rows = []
             for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for i, line in enumerate((text.as_py() or "").split("\n")):
-                    if (n := len(line)) >= min_chars:
+                    if (n := len(line)) >= min_chars or (short and line.strip()):
                         one = xxhash.xxh3_128_intdigest(line.encode())
-                        rows.append((d, h, i, (one >> 64) - (1 << 63), (one & (1 << 64) - 1) - (1 << 63), [k[0] for base in (n, n - 1) for k in block_keys(line, base, 2)]))
+                        rows.append((d, h, i, (one >> 64) - (1 << 63), (one & (1 << 64) - 1) - (1 << 63), [k[0] for base in (n, n - 1) for k in block_keys(line, base, 2)] if n >= min_chars else []))
                 if len(rows) > 50_000:
                     yield _batch(rows, fields)
                     rows = []
@@ -161,11 +161,12 @@ def near_lines(lines: DataFrame, texts_of, scratch: Scratch, blocks: int = BLOCK
     return scratch.keep(checked.distinct())
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, blocks: int = BLOCKS, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, blocks: int = BLOCKS, text: str = "text", short: bool = False) -> DataFrame:
     """The columns of ``docs`` with the text's repeated lines removed, then n_lines and n_removed.
 
     Lines end at line feeds. A line of at least ``min_chars`` code points goes if an earlier line, by doc_id and then place, equals it or is within one
-    edit (insertion, deletion or substitution of a code point) of it, whether or not that line stays itself. Shorter lines always stay.
+    edit (insertion, deletion or substitution of a code point) of it, whether or not that line stays itself. A shorter line always stays,
+    or with ``short`` goes if an earlier line equals it and is not blank.
     Null text stays null and has no lines; a null doc_id comes last; rows that repeat doc_id and text count as one row and all stay alike; rows of
     one doc_id with different texts are ordered by a hash. An empty table gives an empty result; other columns are carried through.
     """
@@ -175,7 +176,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, blocks: int = BL
     scratch = Scratch(docs.sparkSession)
     keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__h", F.coalesce(F.xxhash64(text), F.lit(0)))
     rows = keyed.select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.col(text).alias("text"))
-    seen = scratch.keep(rows.mapInArrow(_occurrences(min_chars), "d long, h long, i int, l1 long, l2 long, k array<long>"))
+    seen = scratch.keep(rows.mapInArrow(_occurrences(min_chars, short), "d long, h long, i int, l1 long, l2 long, k array<long>"))
     lines = scratch.keep(seen.groupBy("l1", "l2").agg(F.min(F.struct("d", "h", "i")).alias("first"), F.max("k").alias("k")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -197,5 +198,5 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, blocks: int = BL
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents"))
+    out = dedup_lines(read(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

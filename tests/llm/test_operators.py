@@ -138,6 +138,13 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(docs(spark)).count() == len(ODD)
 
 
+def test_short_lines(spark):
+    many = [(1, "Les.\nab\n\n  \nLes.\nLet."), (2, "ab\n\nLes.\nac\n  \n" + "x" * 20), (3, "x" * 19 + "\n" + "x" * 20)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs(spark, many), short=True).collect()}
+    # Only equal short lines go; blank ones and those within one edit stay.
+    assert got == {1: ("Les.\nab\n\n  \nLet.", 6, 1), 2: ("\nac\n  \n" + "x" * 20, 6, 2), 3: ("x" * 19, 2, 1)}
+
+
 def test_sketch(spark, empty):
     h = WordHashes()
     many = [*[x for x in ODD if x[0] != 7], (None, "x")]
