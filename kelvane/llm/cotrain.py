@@ -25,6 +25,13 @@ from kelvane.llm.models import BoostedTrees, Isotonic, Logistic, logit
 SAMPLE, POOL, ROUNDS, SURE, FOLDS, SOURCES = 20_000, 20_000, 3, 0.95, 3, 200
 
 _SIGNS = re.compile(r"[^\w\s]")
+_CAPITALS, _OTHERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(r"[^\x00-\x7f]")
+
+
+def capitals(text: str) -> int:
+    """Upper-case letters of the whole text."""
+    data = text.encode()
+    return len(data) - len(data.translate(None, _CAPITALS)) + (0 if len(data) == len(text) else sum(map(str.isupper, _OTHERS.findall(text))))
 
 
 def text_features(text: str) -> list[float]:
@@ -40,7 +47,7 @@ def text_features(text: str) -> list[float]:
     end = sum(w[-1] in ".!?" for w in words)
     return [
         np.log1p(len(text)), np.log1p(len(words)), sum(lengths) / k, float(np.std(lengths)) if words else 0.0, distinct / k,
-        len(signs) / n, len(set(signs)) / max(1, len(signs)), upper / k, sum(c.isupper() for c in text[:: max(1, n // 2000)]) / min(n, 2000), sum(map(str.isdigit, words)) / k, len(re.findall(r"\d", text)) / n,
+        len(signs) / n, len(set(signs)) / max(1, len(signs)), upper / k, capitals(text) / n, sum(map(str.isdigit, words)) / k, len(re.findall(r"\d", text)) / n,
         text.count("|") / k, text.count("!") / k, len(re.findall(r"[^\w\s]{2,}", text)) / k, end / k, text.count(",") / k,
         len(lines) / k, heads / len(lines), float(max(map(len, lines))) / n, text.count("http") / k, text.count("\ufffd") / n, sum(not x[:1].isalpha() for x in words) / k,
     ]

@@ -294,6 +294,11 @@ def test_quality(spark):
     assert cotrain.score(df, known.where("quality = 1")).where("keep").count() == 600
 
 
+def test_capitals_of_the_whole_text():
+    for text in ("", "aB", "aB" * 1500, "ÄäÉ ǅΣσ" * 700, ("A" + "b" * 499) * 2000):
+        assert cotrain.text_features(text)[8] == sum(c.isupper() for c in text) / max(1, len(text))
+
+
 def test_cotraining_teaches_the_other_view():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 900)
