@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); set here only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); set here only where it is unset and driver and executors are one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kelvane-"))
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="kelvane-"))
     return sc.getCheckpointDir()
 
 
+#: Bytes of an Arrow batch, so that a Python worker's memory doesn't grow with the length of texts.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session has no bound of its own; by rows alone, 10,000 long texts would be one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a read and not the whole lineage.
 
@@ -32,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        bounded_batches(spark)
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.n += 1

@@ -11,11 +11,13 @@ parallel: counts per length and digest bucket, prefix sums over the buckets, and
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,63 +48,134 @@ class WordIds:
     """Ids of texts as the tokenizer gives them, joined from those of their words.
 
     Right for tokenizers that drop white space and never join across it. Only space and line feed part words here; any
-    other white space stays inside one for the tokenizer to handle. ``bound`` words are kept at most.
+    other white space stays inside one for the tokenizer to handle. Texts are parted and their words dictionary-encoded in Arrow, so
+    that Python sees each different word of a slice once; ``bound`` words are kept between slices at most.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 300_000):
         self.tokenizer, self.bound, self.known = _tokenizer(path), bound, {"": b""}
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
+        self.model = self.tokenizer.model
+        self.plain = self._is_plain()
+
+    def _is_plain(self) -> bool:
+        """Whether this file lower-cases, keeps a run of letters as one word and parts it from signs; else every word goes to the tokenizer itself."""
+        probe = ["a", "Zq", "HELLO", "internationalisation", "\u00c9\u00e0\u00fc", "stra\u00dfe", "\u00d1AND\u00da", "\u0153uvre", "\u0126\u0138\u0142\u014b", "$$$", "...", "!?", "<|"]
+        probe += [h + w + t for w in ("word", "\u00dcber", "x") for h, t in (("", "."), ("", ",!!"), ("(", ")"), ('"', "$$$"), ("#", "..."), ("", "%%%"), ("<|", "|>"), ("", "-"), ("``", "~^"))]
+        parts = pc.extract_regex(pa.array(probe), _FORM)
         try:
-            ids = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            ids = b"".join(map(known.__getitem__, words))
-            if len(known) > self.bound:
-                known.clear()
-                known[""] = b""
-        return np.frombuffer(ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        """A word of letters before one full stop or comma has the ids of both, and A-Z those of a-z: the tokenizer parts and lower-cases them itself."""
-        known = self.known
-        forms = []
-        for w in words:
-            if w not in known:
-                base = w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w
-                low = base.lower() if base.isascii() and base.isalpha() else base
-                forms.append((w, low, w[len(base) :]))
-        new = list({x for _, low, tail in forms for x in (low, tail) if x not in known})
+            own = [[i for x in (f["h"], f["c"].lower(), f["t"]) if x for i in self._part(x)] for f in parts.to_pylist()]
+        except Exception:  # the model has no symbols for these bytes
+            return False
+        return own == [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+
+    def _part(self, part: str) -> list[int]:
+        symbols = part if part.isascii() else part.encode().decode("latin-1").translate(_SYMBOLS)
+        return [x.id for x in self.model.tokenize(symbols)]
+
+    def _learn(self, parts: list[str], plain: list[bool]) -> None:
+        new = [(p, known) for p, known in zip(parts, plain, strict=True) if p not in self.known]
+        if len(self.known) + len(new) > self.bound:
+            self.known = {p: self.known[p] for p in ["", *parts] if p in self.known}
+        odd = [p for p, known in new if not known]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, low, tail in forms:
-            if w not in known:
-                known[w] = known[low] + known[tail]
+        for p, e in zip(odd, encode(odd, add_special_tokens=False), strict=True):
+            self.known[p] = array("I", e.ids).tobytes()
+        for p, known in new:
+            if known:
+                self.known[p] = array("I", self._part(p)).tobytes()
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these different words one after the other, how many each has)."""
+        form = pc.extract_regex(words, _FORM)  # null for words of another form
+        fits = pc.and_(pc.is_valid(form), pa.scalar(self.plain))
+        empty = pa.scalar("")
+        columns = [pc.if_else(fits, form.field("h"), empty), pc.if_else(fits, pc.utf8_lower(form.field("c")), words), pc.if_else(fits, form.field("t"), empty)]
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        parts, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        odd = np.zeros(len(parts), bool)
+        odd[index[len(words) : 2 * len(words)][~fits.to_numpy(zero_copy_only=False)]] = True
+        self._learn(parts, (~odd).tolist())
+        ids, n = gathered([self.known[p] for p in parts], index.reshape(3, -1).T.ravel())
+        return ids, n.reshape(-1, 3).sum(axis=1)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each begins and the last ends)."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, sizes = self._words(coded.dictionary)
+        index = coded.indices.to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        per = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+        return ids[runs(starts[index], n)], ends[per]
+
+
+def runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + n[0] - 1, starts[1] .. and so on; 32 bits, since a slice has fewer ids than that."""
+    before = np.cumsum(n) - n
+    return np.arange(n.sum(), dtype=np.int32) + np.repeat((starts - before).astype(np.int32), n)
+
+
+def gathered(parts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts[i] for the i of index, one after the other, and how many each has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[index]
+    return np.frombuffer(b"".join(parts), "<u4")[runs(starts[index], n)], n
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself where printable, else one from 256 up."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SYMBOLS = _byte_symbols()
+#: Signs, letters, signs: ASCII signs but the apostrophe, which tokenizers treat in ways of their own, and Latin letters that are one letter in either case.
+_FORM = r"^(?P<h>[!-&(-/:-@\[-`{-~]*)(?P<c>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]*)(?P<t>[!-&(-/:-@\[-`{-~]*)$"
+
+
+#: Bytes of text that are tokenised at a time; a longer text makes a slice of its own.
+SLICE = 8_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many bytes in a column, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each row's ids and the end id, cut at multiples of the window."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, salt): each row's ids and the end id, cut at multiples of the window.
+
+    ``salt`` numbers the rows of a task, which tells equal rows apart once they are written.
+    """
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(path)
-        end = np.array([end_id], "<u4").tobytes()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        end, row = np.array([end_id], "<u4").tobytes(), 0
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.encode(t.as_py() or "").tobytes() + end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    for col, v in zip(cols, (doc_id, at, len(part) // 4, zlib.crc32(part), n), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            for part in slices(batch, 1):
+                cols: list[list] = [[] for _ in names]
+                ids, at = coder.encode(pc.fill_null(part.column(1), ""))
+                for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own, n = ids[a:b].tobytes() + end, b - a + 1
+                    for first in range(0, n, window):
+                        piece = own[4 * first : 4 * (first + window)]
+                        for col, v in zip(cols, (doc_id, first, len(piece) // 4, zlib.crc32(piece), n, row), strict=True):
+                            col.append(v)
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def combinations(hist: np.ndarray, window: int, slack: int = 0, most: int = 6000, seed: int = 7) -> np.ndarray:
@@ -247,7 +320,7 @@ def pack(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, end_
     hist = np.zeros(window + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most ``window`` rows
         hist[length] = n
-    rows = ranked(cut, "length", ["doc_id", "start", "ids_crc32"])
+    rows = ranked(cut, "length", ["doc_id", "start", "ids_crc32", "salt"])
     return placed(rows, plan(hist, window)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
