@@ -7,196 +7,121 @@ candidate's edit distance is then verified on the texts.
 
 A line of n characters has n variants, which would be as many rows as the corpus has characters. So places that cannot
 matter are left out first, without loss: lines within one edit agree on all but one of any p blocks. Keys of "all but one block"
-are counted for two blocks, on hashes taken while reading, and for 16 blocks, for what is left; variants are made only in the
+are counted for two blocks, taken while reading, and for 16 blocks, for what is left; variants are made only in the
 blocks whose key another line has.
 
-Skew: a very common line is one distinct line after partial aggregation; its occurrences meet one row in a join that AQE can split.
+All of it are DataFrame functions. Skew: a very common line is one distinct line after partial aggregation; its occurrences meet one
+row in a join that AQE can split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvane.llm.common import Scratch, read
+from kelvane.llm.common import Scratch, WORD, read
 
-MIN_CHARS, BLOCKS = 20, 16
+#: An edit in a line of n characters leaves a similarity of 1 - 1 / n.
+SIMILARITY, BLOCKS = 0.8, 16
 _LAST = (1 << 63) - 1
 
 
-def _hash(*parts: str | int) -> int:
-    x = xxhash.xxh3_64()
-    for p in parts:
-        x.update(p.encode() if isinstance(p, str) else p.to_bytes(8, "little"))
-        x.update(b"\xff")  # no byte of UTF-8
-    return x.intdigest() - (1 << 63)
+def without_block(line: Column, length: Column, base: Column, start: Column, stop: Column, *more: Column) -> Column:
+    """Hash of a line without the places start .. stop of a line of ``base`` characters; of a line one longer, one place more goes."""
+    return F.xxhash64(*more, base, F.substring(line, F.lit(1), start), F.substring(line, length - base + stop + 1, base - stop))
 
 
-def block_keys(line: str, base: int, blocks: int) -> list[tuple[int, int, int, int]]:
-    """(hash, block, from, to) of all but one block each, for lines that are compared as if ``base`` long."""
+def coarse_keys(line: Column, length: Column) -> list[Column]:
+    """Hashes of all but either half, for comparison with lines as long or one longer, and with lines one shorter."""
+    zero = F.lit(0)
     out = []
-    for j in range(blocks):
-        a, b = j * base // blocks, (j + 1) * base // blocks
-        if blocks > base and a == b and j:
-            continue
-        out.append((_hash(base, j, blocks, line[:a], line[len(line) - (base - b) :] if base > b else ""), j, a, b))
+    for base in (length, length - 1):
+        half = F.floor(base / 2).cast("int")
+        out += [without_block(line, length, base, zero, half, F.lit(0)), without_block(line, length, base, half, base, F.lit(1))]
     return out
 
 
-def within_one_edit(a: str, b: str) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+def exploded(rows: DataFrame) -> DataFrame:
+    """(d, h, text) -> (d, h, i, line, l1, l2) of the lines with a word; l1 and l2 are hashes of the line."""
+    lines = rows.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.col("line").rlike(WORD))
+    return lines.select("d", "h", "i", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
 
 
-def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+def near_lines(lines: DataFrame, rows: DataFrame, scratch: Scratch, least: int, blocks: int = BLOCKS) -> DataFrame:
+    """(l1, l2) of the distinct lines that have an earlier line within one edit, the longer of the two of ``least`` characters or more.
 
-
-_L, _I, _S = pa.int64(), pa.int32(), pa.string()
-
-
-def _occurrences(min_chars: int, short: bool):
-    fields = [("d", _L), ("h", _L), ("i", _I), ("l1", _L), ("l2", _L), ("k", pa.list_(_L))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for i, line in enumerate((text.as_py() or "").split("\n")):
-                    if (n := len(line)) >= min_chars or (short and line.strip()):
-                        one = xxhash.xxh3_128_intdigest(line.encode())
-                        rows.append((d, h, i, (one >> 64) - (1 << 63), (one & (1 << 64) - 1) - (1 << 63), [k[0] for base in (n, n - 1) for k in block_keys(line, base, 2)] if n >= min_chars else []))
-                if len(rows) > 50_000:
-                    yield _batch(rows, fields)
-                    rows = []
-            yield _batch(rows, fields)
-
-    return run
-
-
-_TEXTS = [("l1", _L), ("l2", _L), ("d", _L), ("h", _L), ("i", _I), ("line", _S)]
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, size = [], 0
-        for d, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), batch.column(3), strict=True):
-            lines = (text.as_py() or "").split("\n")
-            for w in wanted.as_py():
-                rows.append((w["l1"], w["l2"], d, h, w["i"], lines[w["i"]]))
-                size += len(lines[w["i"]])
-            if size > 8_000_000:
-                yield _batch(rows, _TEXTS)
-                rows, size = [], 0
-        yield _batch(rows, _TEXTS)
-
-
-def _fine_keys(blocks: int):
-    fields = [("l1", _L), ("l2", _L), ("longer", _I), ("a", _I), ("b", _I), ("key", _L)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                yield _batch([(l1, l2, longer, a, b, key) for l1, l2, line in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True) for longer in (0, 1) for key, _, a, b in block_keys(line, len(line) - longer, blocks)], fields)
-
-    return run
-
-
-_VARIANTS = [("v", _L), ("place", _I), ("l1", _L), ("l2", _L), ("d", _L), ("h", _L), ("i", _I)]
-
-
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of equal v: place >= 0 for substitutions there; -1 the line itself and -2 a line without one character, of equal text."""
-    for batch in batches:
-        rows = []
-        for l1, l2, d, h, i, line, ranges in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-            own, keys = (l1, l2, d, h, i), set()
-            keys.add((_hash("", line), -1))
-            for r in ranges:
-                for p in range(r["a"], r["b"] + r["longer"]):
-                    short = line[:p] + line[p + 1 :]
-                    keys.add((_hash("", short), -2) if r["longer"] else (_hash("s", p, short), p))
-            rows += [(v, p, *own) for v, p in keys]
-            if len(rows) > 100_000:
-                yield _batch(rows, _VARIANTS)
-                rows = []
-        yield _batch(rows, _VARIANTS)
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = [within_one_edit(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_())), batch.column(1).filter(pa.array(near, pa.bool_()))], ["l1", "l2"])
-
-
-def near_lines(lines: DataFrame, texts_of, scratch: Scratch, blocks: int = BLOCKS) -> DataFrame:
-    """(l1, l2) of the distinct lines that have an earlier line within one edit.
-
-    lines: (l1, l2, first struct<d,h,i>, k array): one row per distinct line; texts_of gives some lines' texts.
+    lines: (l1, l2, first struct<d,h,i>, k0 .. k3 or null), one row per distinct line; rows: (d, h, text), where their texts are.
     """
-    key = lines.select("l1", "l2", F.explode("k").alias("key"))
+    key = lines.where("k0 is not null").select("l1", "l2", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     left = key.join(shared, "key").select("l1", "l2").distinct()
-    texts = scratch.keep(texts_of(lines.join(left, ["l1", "l2"]).select("l1", "l2", "first.*")))
-    fine = scratch.keep(texts.select("l1", "l2", "line").mapInArrow(_fine_keys(blocks), "l1 long, l2 long, longer int, a int, b int, key long"))
+    wanted = lines.join(left, ["l1", "l2"]).select("first.*")
+    texts = scratch.keep(exploded(rows).join(wanted, ["d", "h", "i"]).dropDuplicates(["l1", "l2"]).withColumn("n", F.length("line")))
+
+    longer, j = F.floor(F.col("x") / blocks).cast("int"), F.col("x") % blocks
+    base = F.col("n") - longer
+    start, stop = F.floor(j * base / blocks).cast("int"), F.floor((j + 1) * base / blocks).cast("int")
+    cut = texts.select("l1", "l2", "line", "n", F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("x")).where(start < stop)
+    fine = scratch.keep(cut.select("l1", "l2", F.col("x").cast("byte").alias("x"), without_block(F.col("line"), F.col("n"), base, start, stop, j).alias("key")))
     shared = fine.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    ranges = fine.join(shared, "key").groupBy("l1", "l2").agg(F.collect_list(F.struct("longer", "a", "b")).alias("ranges"))  # 2 * blocks at most
-    variants = scratch.keep(texts.join(ranges, ["l1", "l2"]).select("l1", "l2", "d", "h", "i", "line", "ranges").mapInArrow(_variants, "v long, place int, l1 long, l2 long, d long, h long, i int"))
-    me = F.struct("d", "h", "i", "l1", "l2")
-    least = variants.groupBy("v").agg(F.min(F.when(F.col("place") >= 0, me)).alias("same"), F.min(F.when(F.col("place") == -1, me)).alias("whole"), F.min(F.when(F.col("place") == -2, me)).alias("cut"), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = F.when(F.col("place") >= 0, F.col("same")).when(F.col("place") == -1, F.col("cut")).otherwise(F.col("whole"))
-    pairs = variants.join(least, "v").withColumn("w", other).where(F.col("w").isNotNull() & (F.col("w") < me)).select("l1", "l2", F.col("w.l1").alias("m1"), F.col("w.l2").alias("m2")).distinct()
+    ranges = fine.join(shared, "key").select("l1", "l2", F.col("x").cast("int").alias("x"))
+
+    # kind 0: equal lengths without the same place; 1: a line as it is, and 2: one without a place, which may be the same text.
+    places = texts.join(ranges, ["l1", "l2"]).select("d", "h", "i", "l1", "l2", "line", longer.alias("longer"), F.explode(F.sequence(start, stop + longer - 1)).alias("p"))
+    short = F.concat(F.substring("line", F.lit(1), F.col("p")), F.substring(F.col("line"), F.col("p") + 2, F.length("line")))
+    whole = lambda t: F.xxhash64(F.lit(-1), t)
+    me = ["d", "h", "i", "l1", "l2"]
+    cuts = places.select(F.when(F.col("longer") == 1, whole(short)).otherwise(F.xxhash64("p", short)).alias("v"), (2 * F.col("longer")).alias("kind"), *me)
+    own = texts.join(ranges.select("l1", "l2").distinct(), ["l1", "l2"]).select(whole(F.col("line")).alias("v"), F.lit(1).alias("kind"), *me)
+    variants = scratch.keep(cuts.unionByName(own))
+    scratch.drop(fine)
+    least_of = variants.groupBy("v", "kind").agg(F.min(F.struct(*me)).alias("w"))
+    # Lines as they are meet lines without a place, and the other way round.
+    meets = least_of.select("v", F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind")).alias("kind"), "w")
+    pairs = variants.join(meets, ["v", "kind"]).where(F.col("w") < F.struct(*me)).select("l1", "l2", F.col("w.l1").alias("m1"), F.col("w.l2").alias("m2")).distinct()
     a, b = texts.select("l1", "l2", F.col("line").alias("line_a")), texts.select(F.col("l1").alias("m1"), F.col("l2").alias("m2"), F.col("line").alias("line_b"))
-    checked = pairs.join(a, ["l1", "l2"]).join(b, ["m1", "m2"]).select("l1", "l2", "line_a", "line_b").mapInArrow(_verified, "l1 long, l2 long")
-    return scratch.keep(checked.distinct())
+    near = F.levenshtein("line_a", "line_b", 1).between(0, 1) & (F.greatest(F.length("line_a"), F.length("line_b")) >= least)
+    return scratch.keep(pairs.join(a, ["l1", "l2"]).join(b, ["m1", "m2"]).where(near).select("l1", "l2").distinct())
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, blocks: int = BLOCKS, text: str = "text", short: bool = False) -> DataFrame:
-    """The columns of ``docs`` with the text's repeated lines removed, then n_lines and n_removed.
+def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, blocks: int = BLOCKS, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The columns of ``docs`` with the text's repeated lines removed, then two counts of lines under the names ``counts``.
 
-    Lines end at line feeds. A line of at least ``min_chars`` code points goes if an earlier line, by doc_id and then place, equals it or is within one
-    edit (insertion, deletion or substitution of a code point) of it, whether or not that line stays itself. A shorter line always stays,
-    or with ``short`` goes if an earlier line equals it and is not blank.
+    Lines end at line feeds. A line with a word goes if an earlier line, by doc_id and then place, equals it, or is within one edit (insertion, deletion or
+    substitution of a code point) of it with a similarity of 1 - 1 / (characters of the longer) of ``similarity`` or more, whether or not that line stays itself;
+    0.8 asks for five characters. Similarity 1 leaves equal lines only. Lines without a word always stay.
     Null text stays null and has no lines; a null doc_id comes last; rows that repeat doc_id and text count as one row and all stay alike; rows of
-    one doc_id with different texts are ordered by a hash. An empty table gives an empty result; other columns are carried through.
+    one doc_id with different texts are ordered by a hash. An empty table gives an empty result; other columns are carried through, but those
+    named as the counts, which take their places.
     """
-    for name in ("__d", "__h", "__gone", "n_lines", "n_removed"):
-        if name in docs.columns:
-            docs = docs.drop(name)  # these names are this operator's own
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__h", F.coalesce(F.xxhash64(text), F.lit(0)))
-    rows = keyed.select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.col(text).alias("text"))
-    seen = scratch.keep(rows.mapInArrow(_occurrences(min_chars, short), "d long, h long, i int, l1 long, l2 long, k array<long>"))
-    lines = scratch.keep(seen.groupBy("l1", "l2").agg(F.min(F.struct("d", "h", "i")).alias("first"), F.max("k").alias("k")))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        per = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("l1", "l2", "i")).alias("wanted"))  # at most a document's own lines
-        return rows.join(per, ["d", "h"]).select("d", "h", "text", "wanted").mapInArrow(_texts, "l1 long, l2 long, d long, h long, i int, line string").dropDuplicates(["l1", "l2"])
-
-    near = near_lines(lines, texts_of, scratch, blocks).withColumn("near", F.lit(True))
-    state = lines.select("l1", "l2", "first").join(near, ["l1", "l2"], "left")
+    others = [c for c in docs.columns if c != text and c not in counts]
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row")
+    own = F.col(f"`{text}`")
+    keyed = docs.select(carried, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.xxhash64(own), F.lit(0)).alias("h"), F.split(own, "\n", -1).alias("parts"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.xxhash64(own), F.lit(0)).alias("h"), own.alias("text"))
+    least = math.ceil(1 / (1 - similarity) - 1e-9) if similarity < 1 else None
+    keys = [F.when(F.length("line") >= least - 1, k) if least else F.lit(None).cast("long") for k in coarse_keys(F.col("line"), F.length("line"))]
+    seen = scratch.keep(exploded(rows).select("d", "h", "i", "l1", "l2", *[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    lines = scratch.keep(seen.groupBy("l1", "l2").agg(F.min(F.struct("d", "h", "i")).alias("first"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)]))
+    state = lines.select("l1", "l2", "first", F.lit(None).cast("boolean").alias("near"))
+    if least:
+        near = near_lines(lines, rows, scratch, least, blocks).withColumn("near", F.lit(True))
+        state = lines.select("l1", "l2", "first").join(near, ["l1", "l2"], "left")
     gone = seen.select("d", "h", "i", "l1", "l2").join(state, ["l1", "l2"]).where(F.col("near").isNotNull() | (F.struct("d", "h", "i") != F.col("first")))
-    per = gone.groupBy("d", "h").agg(F.collect_set("i").alias("__gone"))  # at most a document's own lines
-    per = per.withColumnRenamed("d", "__d").withColumnRenamed("h", "__h")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    out = keyed.join(per, ["__d", "__h"], "left")
+    per = gone.groupBy("d", "h").agg(F.collect_set("i").alias("gone"))  # at most a document's own lines
+    out = keyed.join(per, ["d", "h"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.array_join(F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.transform(stay, lambda i: F.element_at("parts", i + 1))), "\n")
+    at = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {text: kept}
     return out.select(
-        *[(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[at[c].alias(c) for c in docs.columns if c in at],
+        F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).cast("long").alias(counts[0]), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents"), short=True)
+    out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -66,16 +66,16 @@ def one_edit(a: str, b: str) -> bool:
     return row[-1] <= 1
 
 
-def lines(docs, least=20):
+def lines(docs, least=5):
     seen, first, out = [], {}, []
     for d, t in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
         own = (t or "").split("\n")
         kept = []
         for x in own:
-            if len(x) >= least:
+            if words(x):
                 if x in first:
                     continue
-                first[x] = any(abs(len(o) - len(x)) <= 1 and one_edit(x, o) for o in seen)
+                first[x] = least is not None and any(abs(len(o) - len(x)) <= 1 and max(len(o), len(x)) >= least and one_edit(x, o) for o in seen)
                 seen.append(x)
                 if first[x]:
                     continue
