@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from kelvane.llm.common import Scratch, read
 from kelvane.llm.words import Rolling, WordHashes, window_min
 
-WINDOW, SEED_WORDS = 35, 8
-
+#: Window, words of a seed, and words whose hashes a worker keeps.
+WINDOW, SEED_WORDS, WORDS = 35, 8, 150_000
 
 _PLACE = np.uint64((1 << 30) - 1)
 _OTHER_BASE = 0xD6E8FEB86659FD93
@@ -61,7 +61,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def _seeds(window: int, seed_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, names = WordHashes(), ["d", "h", "start", "n", "seed", "span"]
+        hashes, names = WordHashes(WORDS), ["d", "h", "start", "n", "seed", "span"]
         for batch in batches:
             held, size = [], 0
             for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -81,18 +81,18 @@ def _seeds(window: int, seed_words: int):
 
 
 def _windows(window: int):
-    """Text with its runs -> the single windows of each run, under two hashes of 64 bits."""
+    """Text with its runs -> the single windows of each run, under two hashes of 64 bits that share no word hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, names = WordHashes(), ["seed", "span", "n", "i", "w1", "w2"]
+        hashes, others, names = WordHashes(WORDS), WordHashes(WORDS, seed=1), ["seed", "span", "n", "i", "w1", "w2"]
         for batch in batches:
             for text, runs in zip(batch.column(0), batch.column(1), strict=True):
-                words = hashes(_split(text.as_py()))
+                split = _split(text.as_py())
                 v = runs.values
                 start, n, seed, span = (v.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "seed", "span"))
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(start, n) + inside
-                w1, w2 = (Rolling(words, b).runs(at, at + window).view(np.int64) for b in (0x9E3779B97F4A7C15, _OTHER_BASE))
+                w1, w2 = (Rolling(h(split), b).runs(at, at + window).view(np.int64) for h, b in ((hashes, 0x9E3779B97F4A7C15), (others, _OTHER_BASE)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(seed, n), np.repeat(span, n), np.repeat(n, n).astype(np.int32), inside.astype(np.int32), w1, w2)], names)
 
     return run
@@ -134,12 +134,15 @@ def strip_repeats(docs: DataFrame, *, window: int = WINDOW, seed_words: int = SE
 
     A window is ``window`` consecutive words of one row; it is repeated if its words also start anywhere else. Null and empty texts have no
     words; rows that are repeated repeat each other; rows of one doc_id with different texts are kept apart. An empty table gives an empty
-    result; other columns are ignored. ``texts=False`` leaves ``kept`` null.
+    result; other columns are ignored. ``texts=False`` leaves ``kept`` null. Windows of one seed are marked in 64 bits, so ``seed_words``
+    is at least ``window - 61``.
     """
+    if not 0 <= window - seed_words <= 61:
+        raise ValueError("seed_words must be from window - 61 to window")
     scratch = Scratch(docs.sparkSession)
     rows = _keyed(docs, text)
     seeds = scratch.keep(rows.mapInArrow(_seeds(window, seed_words), "d long, h long, start int, n int, seed long, span long"))
-    again = seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
+    again = scratch.keep(seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed"))  # written, so that AQE can split a common seed
     found = scratch.keep(seeds.join(again, "seed"))
     scratch.drop(seeds)
     spans = scratch.keep(found.groupBy("seed", "span", "n").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "start")).alias("one")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import xxhash
 
@@ -18,8 +20,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of byte words, with at most ``bound`` of them kept."""
 
-    def __init__(self, bound: int = 400_000):
-        self.bound, self.known = bound, {}
+    def __init__(self, bound: int = 200_000, seed: int = 0):
+        self.bound, self.seed, self.known = bound, seed, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
@@ -30,7 +32,7 @@ class WordHashes:
         if len(known) + len(new) > self.bound:
             known.clear()
             new = list(set(words))
-        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new, repeat(self.seed)), strict=False))
         out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(known) > self.bound:
             known.clear()
