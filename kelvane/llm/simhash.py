@@ -151,10 +151,57 @@ def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int, width: int = 6
             yield compared(*(np.array([x]) for x in (at, min(a1, at + step), b0, b1)))
 
 
+def spread(n: int, near) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (i, those it reaches first) that connect all that pairs of 0 .. n - 1 connect; near(i, others) tells which of others are paired with i.
+
+    Only what is not reached yet is compared, so that a dense group costs a few comparisons a member and never all pairs.
+    """
+    todo = np.arange(n)
+    while len(todo):
+        reached, todo = [int(todo[0])], todo[1:]
+        while reached and len(todo):
+            i = reached.pop()
+            hit = near(i, todo)
+            found, todo = todo[hit], todo[~hit]
+            if len(found):
+                yield i, found
+                reached += found.tolist()
+
+
+#: Groups of so many are looked at for density, by the pairs of so many members.
+_DENSE, _PROBES, _PAIRS_EACH = 256, 32, 16
+
+
 def _walker(budget: int, width: int, earlier: list[list[int]], payload: int, most: int | None):
+    def dense(key: np.ndarray, words: tuple[np.ndarray, ...], node: np.ndarray) -> Iterator[tuple[int, int]]:
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            hit = np.bitwise_count((key[others] ^ key[i]).view(np.uint64)) <= budget
+            if most is not None and hit.any():
+                at = others[hit]
+                hit[hit] = sum(np.bitwise_count((w[at] ^ w[i]).view(np.uint64)).astype(np.int64) for w in words) <= most
+            return hit
+
+        for i, found in spread(len(key), near):
+            yield from zip(repeat(int(node[i])), node[found].tolist())
+
     def pairs(table: np.ndarray, branch: np.ndarray, value: np.ndarray, key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[int, int]]:
         new = np.flatnonzero((table[1:] != table[:-1]) | (branch[1:] != branch[:-1]) | (value[1:] != value[:-1])) + 1
         bounds = np.concatenate([[0], new, [len(key)]])
+        # A group in which members have many partners is spread over; that gives the same components as all its pairs.
+        crowds = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= _DENSE:
+                probes = np.linspace(a, b - 1, _PROBES).astype(np.int64)
+                if sum(int((np.bitwise_count((key[a:b] ^ key[p]).view(np.uint64)) <= budget).sum()) for p in probes) > _PROBES * _PAIRS_EACH:
+                    crowds.append((a, b))
+                    yield from dense(key[a:b], tuple(w[a:b] for w in words), node[a:b])
+        if crowds:
+            left = np.ones(len(key), bool)
+            for a, b in crowds:
+                left[a:b] = False
+            table, branch, value, key, node, *words = (x[left] for x in (table, branch, value, key, node, *words))
+            new = np.flatnonzero((table[1:] != table[:-1]) | (branch[1:] != branch[:-1]) | (value[1:] != value[:-1])) + 1
+            bounds = np.concatenate([[0], new, [len(key)]]) if len(key) else np.zeros(1, np.int64)
         for i, j in trie_pairs(key.view(np.uint64) ^ np.uint64(1 << 63), bounds, budget, width):
             diff = (key[i] ^ key[j]).view(np.uint64)
             once = np.ones(len(i), bool)
@@ -241,7 +288,7 @@ def near_groups(docs: DataFrame, *, k: int = SHINGLE_WORDS, budget: int = BUDGET
     rows = scratch.keep(fingerprint(docs, k, text))
     fps = scratch.keep(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
     links = trie_links(fps.select(F.lit(0).alias("t_table"), F.col("node").alias("key"), "node"), budget, limit)
-    label = members(links, fps, scratch)
+    label = scratch.keep(members(links, fps, scratch))  # written, so that AQE can split a frequent fingerprint
     return rows.join(label, F.col("fp") == F.col("l_node")).select("doc_id", "fp", "component_id")
 
 
@@ -269,7 +316,7 @@ def wide_fingerprints(docs: DataFrame, k: int, longs: int, short: int, similarit
     """(d, h, node, size, w array<long>, prefix array<long>) of each row's set of k-word shingles.
 
     node is a hash of the whole set and size its number of shingles; w is its SimHash of 64 bits a long. Of sets of at most ``short`` shingles prefix has
-    the least size - ceil(similarity * size) + 1, of which two sets of that similarity share one.
+    the least size - ceil(similarity * size) + 2; two sets of that similarity share one of all but the last of these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +332,7 @@ def wide_fingerprints(docs: DataFrame, k: int, longs: int, short: int, similarit
                 grams = shingle_sets(hashes, t.as_py(), k)
                 n = size[row] = len(grams)
                 node[row] = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
-                prefix.append(grams[: prefix_length(n, similarity)].view(np.int64) if 0 < n <= short else grams[:0].view(np.int64))
+                prefix.append(grams[: prefix_length(n, similarity) + 1].view(np.int64) if 0 < n <= short else grams[:0].view(np.int64))
                 if n:
                     held.append(grams)
                     whose.append(row)
@@ -342,19 +389,35 @@ def _groups(group: int):
     return run
 
 
+def prefix_keys(nodes: DataFrame, words: list, limit: int) -> DataFrame:
+    """(p, node, words): the shingles of prefixes, of which two sets of that similarity share one.
+
+    Where over ``limit`` sets share a shingle, it goes together with each larger one of a prefix one longer: two sets that share at least two
+    shingles share two of those. Sets of one shingle have no partner but themselves.
+    """
+    own = F.slice("prefix", 1, F.size("prefix") - 1)
+    each = nodes.where(F.size("prefix") > 1).select("node", "prefix", F.explode(own).alias("p"), *words)
+    crowded = each.groupBy("p").count().where(F.col("count") > limit).select("p")
+    names = [c for c in each.columns if c not in ("prefix", "p")]
+    calm = each.join(crowded, "p", "left_anti").select("p", *names)
+    if crowded.isEmpty():
+        return each.select("p", *names)
+    unsigned = F.struct(F.shiftrightunsigned("q", 1), F.col("q").bitwiseAND(F.lit(1)))
+    twice = each.join(crowded, "p", "left_semi").select("p", *names, F.explode("prefix").alias("q")).where(unsigned > F.struct(F.shiftrightunsigned("p", 1), F.col("p").bitwiseAND(F.lit(1))))
+    return calm.unionByName(twice.select(F.xxhash64("p", "q").alias("p"), *names))
+
+
 def _shared_prefix(longs: int, most: int):
-    """Rows (prefix, node, longs), sorted by prefix -> stars of the pairs of a prefix that differ in at most ``most`` bits."""
+    """Rows (prefix, node, longs), sorted by prefix -> links that connect what pairs of a prefix within ``most`` bits connect."""
 
     def links(prefix: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[int, int]]:
         at = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(prefix)]])
         shared = np.flatnonzero(np.diff(at) > 1)
         for a, b in zip(at[shared].tolist(), at[shared + 1].tolist(), strict=True):
-            label = np.arange(a, b)
-            for i in range(1, b - a):  # what is connected already needs no further link
-                near = sum(np.bitwise_count((w[a : a + i] ^ w[a + i]).view(np.uint64)).astype(np.int64) for w in words) <= most
-                for x in np.unique(label[:i][near]).tolist():
-                    yield int(node[a + i]), int(node[x])
-                    label[label == x] = label[i]
+            own = [w[a:b] for w in words]
+            near = lambda i, others: sum(np.bitwise_count((w[others] ^ w[i]).view(np.uint64)).astype(np.int64) for w in own) <= most  # noqa: B023, E731
+            for i, found in spread(b - a, near):
+                yield from zip(repeat(int(node[a + i])), node[a + found].tolist())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         held = [np.zeros(0, np.int64)] * (2 + longs)
@@ -426,18 +489,86 @@ def _verified(k: int, similarity: float, most: int):
     return run
 
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables: int = 20, budget: int = 3, limit: int = LIMIT, text: str = "text", short: int = 100, carried: int = 3) -> DataFrame:
+def _alike(k: int, similarity: float):
+    """Rows (node, text, leader, leader_text) -> (src, dst) of the nodes whose shingles are alike their leader's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, led = WordHashes(), {}
+        for batch in batches:
+            src, dst = [], []
+            for node, text, leader, leader_text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if leader not in led:
+                    if len(led) >= 8:
+                        led.clear()
+                    led[leader] = shingle_sets(hashes, leader_text.as_py(), k)
+                own = shingle_sets(hashes, text.as_py(), k)
+                common = len(np.intersect1d(own, led[leader], assume_unique=True))
+                if node != leader and common >= similarity * (len(own) + len(led[leader]) - common) - 1e-9:
+                    src.append(node)
+                    dst.append(leader)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
+#: Shingles of the sets that one task verifies (8 bytes each), and the leaders of a larger component.
+VERIFIED, LEADERS = 2_000_000, 3
+
+
+def verified_links(wanted: DataFrame, texts: DataFrame, scratch: Scratch, k: int, similarity: float, most: int, least: int = VERIFIED) -> DataFrame:
+    """(src, dst): links that connect all nodes of a root that pairs of a Jaccard similarity of at least ``similarity`` connect.
+
+    wanted: a written table (root, node, size, w, d, h); texts: (d, h, text). Roots of up to ``least`` shingles are verified in one task each. In larger ones all nodes
+    meet a few leaders first; those alike none of them meet every node in a grid of tasks of about ``least`` shingles.
+    """
+    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "src long, dst long"
+
+    def with_text(rows: DataFrame, *columns: str) -> DataFrame:
+        """One text for each (key, node): rows that repeat d and h have the same."""
+        once = texts.dropDuplicates(["d", "h"]).select("d", "h", F.col("text").cast("binary").alias("text"))
+        return rows.join(once, ["d", "h"]).select(*columns, "text")
+
+    def verified(rows: DataFrame, key: str) -> DataFrame:
+        return with_text(rows, key, "node", "w").repartition(n, key).sortWithinPartitions(key).mapInArrow(_verified(k, similarity, most), kinds)
+
+    weight = scratch.keep(wanted.groupBy("root").agg(F.sum("size").alias("weight")).where(F.col("weight") > least))
+    if weight.isEmpty():
+        return verified(wanted, "root")
+    out = verified(wanted.join(weight, "root", "left_anti"), "root")
+    large = wanted.join(weight, "root")
+    chosen = large.groupBy("root").agg(*[F.min_by(F.struct("node", "d", "h"), F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+    leaders = chosen.select("root", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l")).select("root", "l.*")
+    led = scratch.keep(with_text(leaders, "root", "node").withColumnsRenamed({"node": "leader", "text": "leader_text"}))
+    near = scratch.keep(with_text(large, "root", "node").join(led, "root").select("node", "text", "leader", "leader_text").mapInArrow(_alike(k, similarity), kinds))
+    out = out.unionByName(near)
+    met = near.select(F.col("src").alias("node")).unionByName(led.select(F.col("leader").alias("node"))).distinct()
+    # Leaders have met every node already.
+    rest = scratch.keep(large.join(met, "node", "left_anti"))
+    if rest.isEmpty():
+        return out
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(2 * F.col(c) / least)).cast("int")
+    grid = scratch.keep(rest.groupBy("root").agg(F.sum("size").alias("rest")).join(weight, "root").select("root", parts("rest").alias("across"), parts("weight").alias("down")))
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["root", "node", "w", "d", "h"]
+    rows = rest.join(grid, "root").select(*columns, at("across").alias("i"), every("down").alias("j")).unionByName(large.join(grid, "root").select(*columns, every("across").alias("i"), at("down").alias("j")))
+    cells = rows.select(F.xxhash64("root", "i", "j").alias("cell"), "node", "w", "d", "h").dropDuplicates(["cell", "node"])
+    return out.unionByName(verified(cells, "cell"))
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables: int = 20, budget: int = 3, limit: int = LIMIT, text: str = "text", short: int = 100, carried: int = 3, verified: int = VERIFIED) -> DataFrame:
     """(d, h, component_d, root) per different row: the smallest d of the texts that links reach; root is equal within a component only.
 
     Texts are linked when the Jaccard similarity of their sets of k-word shingles is at least ``similarity``, verified on the sets. Candidates for it are:
     of texts of which one has at most ``short`` shingles, all pairs that share a shingle of their prefixes, which no similar pair lacks; of longer ones, pairs of which
     one table's 32 bits differ in at most ``budget``, which 20 tables miss for one pair in 700 at similarity 0.8. Both must also be within ``most_bits``, five
-    standard deviations, on ``carried`` longs of the fingerprint. Components of candidates are verified in one task each, which holds
-    their sets. d is doc_id, the largest long for null; h is a hash of the text.
+    standard deviations, on ``carried`` longs of the fingerprint. d is doc_id, the largest long for null; h is a hash of the text.
     """
     scratch, longs = Scratch(docs.sparkSession), tables // 2
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(text).alias("text"))
+    own = F.col(f"`{text}`")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.xxhash64(own), F.lit(0)).alias("h"), own.alias("text"))
     with_prefix = math.ceil(short / similarity)
     rows = scratch.keep(wide_fingerprints(keyed, k, longs, with_prefix, similarity, "text"))
     nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct("d", "h")).alias("first"), F.first("size").alias("size"), F.first("w").alias("w"), F.first("prefix").alias("prefix")))
@@ -446,14 +577,12 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables:
     bits = most_bits(similarity, 64 * carried)
     each = nodes.where(F.col("size") > short).select(F.posexplode(F.array(*[key(t) for t in range(tables)])).alias("t_table", "key"), "node", *some)
     long_links = trie_links(each, budget, limit, 32, bits)
-    by_prefix = nodes.select(F.explode("prefix").alias("p"), "node", *some)
-    short_links = by_prefix.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_shared_prefix(carried, bits), "src long, dst long")
+    short_links = prefix_keys(nodes, some, limit).repartition(n, "p").sortWithinPartitions("p").mapInArrow(_shared_prefix(carried, bits), "src long, dst long")
     roots = components(long_links.unionByName(short_links), scratch)
     candidates = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    wanted = candidates.join(nodes.select("node", "first.d", "first.h", "w"), "node")
-    texts = wanted.join(keyed.select("d", "h", "text"), ["d", "h"]).dropDuplicates(["node"]).select("root", "node", "w", F.col("text").cast("binary").alias("text"))
-    links = texts.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_verified(k, similarity, most_bits(similarity, 64 * longs)), "src long, dst long")
-    label = members(scratch.keep(links), nodes.select("node", F.col("first.d").alias("least")), scratch)
+    wanted = scratch.keep(candidates.join(nodes.select("node", "size", "w", "first.d", "first.h"), "node"))
+    links = verified_links(wanted, keyed, scratch, k, similarity, most_bits(similarity, 64 * longs), verified)
+    label = scratch.keep(members(scratch.keep(links), nodes.select("node", F.col("first.d").alias("least")), scratch))
     return rows.select("d", "h", "node").join(label, F.col("node") == F.col("l_node")).select("d", "h", F.col("component_id").alias("component_d"), "root").distinct()
 
 
