@@ -3,10 +3,10 @@
 A group is a set of texts with an equal prefix. Each round deals every open group by its next bytes (few at first,
 then eight times as many, so that a text of n bytes takes log n rounds) together with the fact whether the text ends
 there. A group of one is done; a group whose texts all ended in that round holds equal texts. Bytes are compared
-as they are; the SHA-256 is an output and, with the doc_id, a label of a group, and decides no equality.
+as they are; the SHA-256 is an output only.
 
-Skew: a group of equal texts, however large, is counted by partial aggregation, and its rows meet only two numbers
-in a join that AQE can split. Rows that are done leave their text behind. Each round is a written table.
+Skew: a group of equal texts, however large, is counted by partial aggregation, and its rows meet only three numbers
+of a written table, in a join that AQE can split. Rows that are done leave their text behind. Each round is a written table.
 """
 
 from __future__ import annotations
@@ -26,18 +26,16 @@ def radix_groups(docs: DataFrame, text: str = "text", *, first: int = FIRST, fac
     stays only in a group of null doc_ids. An empty table gives an empty result; further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id"), sha256_of(F.col(text)).alias("text_sha256"), F.lit("").alias("label"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("rest"))
+    rows = docs.select(F.col("doc_id"), sha256_of(F.col(f"`{text}`")).alias("text_sha256"), F.lit(0).cast("long").alias("label"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("rest"))
     done, width = [], first
     while True:
-        cut = rows.select("doc_id", "text_sha256", "label", F.substring("rest", 1, width).alias("part"), (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        own = F.struct("doc_id", "text_sha256")
-        groups = cut.groupBy("label", "part", "ended").agg(F.max(own).alias("top"), F.count("*").alias("group_size"))
+        key = [F.col("label"), F.substring("rest", 1, width).alias("part"), (F.length("rest") <= width).alias("ended")]
+        cut = rows.select("doc_id", "text_sha256", *key, F.expr(f"substring(rest, {width + 1})").alias("rest"))
+        # Written, so that the number of a group holds, and that the join below has two plain exchanges, of which AQE can split a large group.
+        groups = scratch.keep(rows.select("doc_id", *key).groupBy("label", "part", "ended").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("number", F.monotonically_increasing_id()))
         told = cut.join(groups, ["label", "part", "ended"]).withColumn("open", ~F.col("ended") & (F.col("group_size") > 1))
-        table = scratch.keep(told.select(
-            "doc_id", "text_sha256", "group_size", F.col("top.doc_id").alias("keep_id"), "open",
-            F.when(F.col("open"), F.concat_ws(":", F.coalesce(F.col("top.doc_id").cast("string"), F.lit("-")), "top.text_sha256")).alias("label"),
-            F.when(F.col("open"), F.col("rest")).alias("rest"),
-        ))
+        table = scratch.keep(told.select("doc_id", "text_sha256", "group_size", "keep_id", "open", F.when(F.col("open"), F.col("number")).alias("label"), F.when(F.col("open"), F.col("rest")).alias("rest")))
+        scratch.drop(groups)
         done.append(table.where("not open").select("doc_id", "keep_id", "group_size", "text_sha256"))
         rows = table.where("open").select("doc_id", "text_sha256", "label", "rest")
         if rows.isEmpty():
