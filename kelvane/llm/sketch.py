@@ -1,11 +1,14 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every hash of a five-word shingle that is below a fixed fraction of all hashes. Sketches of two parts of a text
-merge into that of the whole, and shares of common hashes estimate how much of one text another contains, however
-unequal they are. Short texts, of which a fixed fraction might leave nothing, keep all their hashes; the sketch says so, and
-two sketches are compared below the smaller of their fractions. A text without words has the sketch of one hash, that of nothing.
+A sketch keeps every hash of a five-word shingle that is below a fixed fraction of all hashes, the same for every text. Sketches of two parts of
+a text merge into that of the whole, and shares of common hashes estimate how much of one text another contains, however
+unequal they are. A text none of whose hashes is below the fraction keeps its smallest one, so that its fingerprint still is its own; that hash
+merges like the others, and estimates don't use it. A text without words has the hash of no words.
 
-Fingerprint: ``<k of fraction 1/k>:<kept hashes, ascending, 8 hex digits each>``. The 32 bits kept are the hash's lower ones; its
+The fraction 1 / ``scale`` is 1/2: of a passage of 14 words (10 shingles) nothing is kept in one case of 1,000, with 1/8 in one of 4. Where all texts are long,
+a smaller fraction does.
+
+Fingerprint: ``<scale>:<kept hashes, ascending, 8 hex digits each>``. The 32 bits kept are the hash's lower ones; its
 upper ones decide.
 """
 
@@ -19,92 +22,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvane.llm.common import read
+from kelvane.llm.common import bounded_batches, read
 from kelvane.llm.words import Rolling, WordHashes, mix64
 
-SHINGLE_WORDS, SCALE, DENSE = 5, 8, 128
+SHINGLE_WORDS, SCALE = 5, 2
 
 
 class Sketch:
-    """scale k and the kept 64-bit hashes, distinct and ascending, all of them below 2 ** 64 / k."""
+    """scale k and distinct 64-bit hashes, ascending: those below 2 ** 64 / k, or else the smallest."""
 
     __slots__ = ("scale", "hashes")
 
     def __init__(self, scale: int, hashes: np.ndarray):
-        self.scale, self.hashes = scale, hashes
+        """hashes: distinct and ascending, of which the sketch keeps its part."""
+        self.scale, self.hashes = scale, hashes[: max(1, self.below(scale, hashes))]
+
+    @staticmethod
+    def below(scale: int, hashes: np.ndarray) -> int:
+        return int(np.searchsorted(hashes, np.uint64(-(-(1 << 64) // scale) - 1), "right")) if scale > 1 else len(hashes)
 
     def at(self, scale: int) -> np.ndarray:
-        return self.hashes if scale == self.scale else self.hashes[self.hashes < np.uint64((1 << 64) // scale)]
+        return self.hashes[: self.below(scale, self.hashes)]
 
     def merge(self, other: Sketch) -> Sketch:
-        scale = max(self.scale, other.scale)
-        return Sketch(scale, np.union1d(self.at(scale), other.at(scale)))
+        return Sketch(max(self.scale, other.scale), np.union1d(self.hashes, other.hashes))
 
-    def containment(self, other: Sketch) -> float:
-        """Share of this sketch's hashes that the other has."""
+    def _shared(self, other: Sketch) -> tuple[int, int, int]:
         scale = max(self.scale, other.scale)
         a, b = self.at(scale), other.at(scale)
-        return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
+        return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
+
+    def containment(self, other: Sketch) -> float:
+        """Share of this sketch's hashes that the other has; 1 for equal sketches, 0 where there is none to compare."""
+        both, own, _ = self._shared(other)
+        return both / own if own else float(np.array_equal(self.hashes, other.hashes))
 
     def likeness(self, other: Sketch) -> float:
         """Share of the smaller sketch that the larger has; 1 for equal sketches; 0 where nothing is left to compare."""
-        if self.scale == other.scale and np.array_equal(self.hashes, other.hashes):
-            return 1.0
-        scale = max(self.scale, other.scale)
-        a, b = self.at(scale), other.at(scale)
-        least = min(len(a), len(b))
-        return len(np.intersect1d(a, b, assume_unique=True)) / least if least else 0.0
+        both, own, others = self._shared(other)
+        return both / min(own, others) if own and others else float(np.array_equal(self.hashes, other.hashes))
 
     def __str__(self) -> str:
         return f"{self.scale}:{(self.hashes & np.uint64(0xFFFFFFFF)).astype('>u4').tobytes().hex()}"
 
 
-def sketch(text: bytes, hashes: WordHashes, k: int = SHINGLE_WORDS, scale: int = SCALE, dense: int = DENSE) -> Sketch:
+def sketch(text: bytes, hashes: WordHashes, k: int = SHINGLE_WORDS, scale: int = SCALE) -> Sketch:
     words = hashes(text.split())
-    n = len(words)
-    if n < k:
-        at = np.zeros(1, np.int64)
-        grams = Rolling(words).runs(at, at + n)
-    else:
-        at = np.arange(n - k + 1)
-        grams = Rolling(words).runs(at, at + k)
-    grams = mix64(grams)
-    if len(grams) <= dense:
-        return Sketch(1, np.unique(grams))
-    return Sketch(scale, np.unique(grams[grams < np.uint64((1 << 64) // scale)]))
+    at = np.arange(max(1, len(words) - k + 1))
+    return Sketch(scale, np.unique(mix64(Rolling(words).runs(at, at + min(k, len(words))))))
 
 
 def with_next(docs: DataFrame, parts: int, text: str = "text") -> DataFrame:
-    """(b, d, ghost, doc_id, text): rows in buckets of ascending doc_id; each bucket ends with a ghost, the first row of the next one.
+    """(b, d, t, ghost, doc_id, text): rows in buckets of ascending (doc_id, hash t of the text); each bucket ends with a ghost, the first row of the next one.
 
-    Bounds are quantiles of the ids; only one id per bucket reaches the driver. The last bucket's ghost is the first row of all.
+    Bounds are quantiles of the ids; an id that several quantiles fall on has as many buckets more, by t. Only one id per bucket reaches the driver. The
+    last bucket's ghost is the first row of all.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = rows.select("d")
-    cuts = sorted({int(c) for c in ids.approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    bounds = np.array(cuts, np.int64)
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(own).alias("t"), own.alias("text"))
+    ids = rows.select("d", "t")
+    found = [int(c) for c in ids.approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    cuts, often = np.unique(np.array(found, np.int64), return_counts=True)
+    more = np.append(np.where(often > 1, often, 0), 0)
+    first_of = np.cumsum(1 + more) - (1 + more)
+
+    def bucket(d: np.ndarray, t: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(cuts, d)
+        hot = more[at] * (np.append(cuts, 0)[at] == d)
+        part = ((t.astype(np.float64) / 2.0**64 + 0.5) * hot).astype(np.int64)  # floors, as it is not negative
+        return (first_of[at] + np.where(hot > 0, 1 + np.minimum(part, hot - 1), 0)).astype(np.int32)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, d).astype(np.int32)), batch.column(0)], ["b", "d"])
+            d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(d, t)), batch.column(0), batch.column(1)], ["b", "d", "t"])
 
-    first = {r["b"]: r["d"] for r in ids.mapInArrow(number, "b int, d long").groupBy("b").agg(F.min("d").alias("d")).collect()}  # a row per bucket
+    first = {r["b"]: (r["s"]["d"], r["s"]["t"]) for r in ids.mapInArrow(number, "b int, d long, t long").groupBy("b").agg(F.min(F.struct("d", "t")).alias("s")).collect()}  # a row per bucket
     order = sorted(first)
-    ghosts = sorted((first[b], order[i - 1]) for i, b in enumerate(order))
-    ghost_ids, ghost_of = np.array([g[0] for g in ghosts], np.int64), np.array([g[1] for g in ghosts], np.int32)
+    ghost_of = {first[b]: order[i - 1] for i, b in enumerate(order)}
+    ghost_ids = np.array(sorted({d for d, _ in ghost_of}), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ghost_ids, d), len(ghost_ids) - 1)
-            twice = np.flatnonzero(ghost_ids[at] == d)
-            again = batch.take(pa.array(twice))
-            own, other = pa.array(np.searchsorted(bounds, d).astype(np.int32)), pa.array(ghost_of[at[twice]])
-            for b, g, rows in ((own, False, batch), (other, True, again)):
-                yield pa.RecordBatch.from_arrays([b, rows.column(0), pa.array([g] * len(rows), pa.bool_()), rows.column(1), rows.column(2)], ["b", "d", "ghost", "doc_id", "text"])
+            d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            some = np.flatnonzero(ghost_ids[np.minimum(np.searchsorted(ghost_ids, d), len(ghost_ids) - 1)] == d).tolist()
+            twice = [(i, ghost_of[key]) for i in some if (key := (int(d[i]), int(t[i]))) in ghost_of]
+            again = batch.take(pa.array([i for i, _ in twice], pa.int64()))
+            for b, g, rows in ((pa.array(bucket(d, t)), False, batch), (pa.array([b for _, b in twice], pa.int32()), True, again)):
+                yield pa.RecordBatch.from_arrays([b, rows.column(0), rows.column(1), pa.array([g] * len(rows), pa.bool_()), rows.column(2), rows.column(3)], ["b", "d", "t", "ghost", "doc_id", "text"])
 
-    return rows.select("d", "doc_id", "text").mapInArrow(deal, "b int, d long, ghost boolean, doc_id long, text string")
+    return rows.select("d", "t", "doc_id", "text").mapInArrow(deal, "b int, d long, t long, ghost boolean, doc_id long, text string")
 
 
 def edited(text: str, following: str) -> str:
@@ -113,14 +120,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, *, k: int = SHINGLE_WORDS, scale: int = SCALE, dense: int = DENSE, text: str = "text", parts: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, *, k: int = SHINGLE_WORDS, scale: int = SCALE, text: str = "text", parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    The next document is that of the next larger doc_id (rows of one doc_id: in the order of their texts), after the last the first; a
-    single document follows itself. Null text counts as empty; a null doc_id comes first. An empty table gives an empty result;
-    other columns are ignored.
+    The next document is that of the next larger doc_id (rows of one doc_id: in the order of a hash of their texts), after the last the first; a
+    single document follows itself. Null text counts as empty; a null doc_id comes first. Rows that repeat doc_id and text follow each other. An
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = with_next(docs, parts, text)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -128,7 +136,7 @@ def fingerprints(docs: DataFrame, *, k: int = SHINGLE_WORDS, scale: int = SCALE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        own = lambda t: sketch(t.encode(), hashes, k, scale, dense)
+        own = lambda t: sketch(t.encode(), hashes, k, scale)
         held = None
         for batch in batches:
             cols: list[list] = [[] for _ in names]
@@ -143,7 +151,7 @@ def fingerprints(docs: DataFrame, *, k: int = SHINGLE_WORDS, scale: int = SCALE,
                 held = now
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    ordered = dealt.repartition(parts, "b").sortWithinPartitions("b", "ghost", "d", "text").select("b", "ghost", "doc_id", "text")
+    ordered = dealt.repartition(parts, "b").sortWithinPartitions("b", "ghost", "d", "t", "text").select("b", "ghost", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
