@@ -4,8 +4,8 @@ Features: densities of lexicon hits, their nearness to second-person words, capi
 learned: words and word beginnings that labelled rows tie to the label. Its counts are summed in Spark by fold,
 so that a training row's features come from a lexicon that has not seen its label; scoring uses the lexicon of all folds.
 
-Bounds: at most ``sample`` labelled rows, chosen by a digest of doc_id, and ``terms`` lexicon entries reach the driver; the model that
-executors get has a fixed size. Every document is scored in one pass without a shuffle.
+Bounds: at most ``sample`` labelled rows, chosen by a digest of doc_id and one for each doc_id, reach the driver, and the lexicon's entries are words of
+these rows. Every document is scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kelvane.llm.common import Scratch, read
 from kelvane.llm.models import BoostedTrees, Constant, Isotonic
 
-SAMPLE, TERMS, FOLDS, THRESHOLD = 20_000, 2_000, 3, 0.7
+SAMPLE, FOLDS, THRESHOLD = 20_000, 3, 0.7
 _WORD = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
 _LEET = str.maketrans("013457@$!*", "oieastasi*")
 _SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -43,12 +43,14 @@ def plain(word: str) -> str:
 
 
 class Words(dict):
-    """lower-case word -> (lexicon weight, 1 if only its plain form has one, 1 if second person); a bounded cache."""
+    """lower-case word -> row of ``rated``: (lexicon weight, 1 if only its plain form has one, 1 if second person); a bounded cache."""
 
-    def __init__(self, lexicon: dict[str, float], bound: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], bound: int = 200_000):
         self.lexicon, self.bound = lexicon, bound
+        self.rows: dict[tuple[float, float, float], int] = {(0.0, 0.0, 0.0): 0}
+        self.rated = np.zeros((1, 3))
 
-    def __missing__(self, word: str) -> tuple[float, float, float]:
+    def __missing__(self, word: str) -> int:
         best = lambda w: max((self.lexicon.get(t, 0.0) for t in terms_of(w)), default=0.0) or _SEED_WEIGHT * (w in SEEDS)
         own, hidden = best(word), 0.0
         if not own and not word.isalpha() and (bare := plain(word)):
@@ -56,15 +58,25 @@ class Words(dict):
             hidden = float(own > 0)
         if len(self) >= self.bound:
             self.clear()
-        self[word] = out = (own, hidden, float(word in _SECOND))
+        row = (own, hidden, float(word in _SECOND))
+        if row not in self.rows:
+            self.rows[row] = len(self.rows)
+            self.rated = np.array(list(self.rows))
+        self[word] = out = self.rows[row]
         return out
 
 
+_CAPITALS, _BEYOND = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile("[\u00c0-\u00d6\u00d8-\u00de]")
+_SHOUTED, _SIGNS, _STRETCHED = re.compile(r"\b[A-Z\u00c0-\u00d6\u00d8-\u00de]{3,}\b"), re.compile(r"[^\w\s]{2,}"), re.compile(r"([^\W\d_])\1\1")
+_ODD = re.compile(r"(?<=[^\W\d_])[\d@$*!]+(?=[^\W\d_])")
+
+
 def features(text: str, words: Words) -> list[float]:
     low = text.lower()
     found = _WORD.findall(low)
     n, chars = len(found), max(1, len(text))
-    rated = np.array([words[w] for w in found]) if n else np.zeros((0, 3))
+    codes = np.fromiter(map(words.__getitem__, found), np.int64, n)
+    rated = words.rated[codes]
     weight, hidden, second = rated[:, 0], rated[:, 1], rated[:, 2]
     hits, you = np.flatnonzero(weight > 0), np.flatnonzero(second > 0)
     near = 0
@@ -75,15 +87,16 @@ def features(text: str, words: Words) -> list[float]:
         gaps = np.minimum(np.abs(hits - left), np.abs(right - hits))
         near, gap = int((gaps <= _NEAR).sum()), float(gaps.min())
     per = max(1, n)
-    upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
-    odd = len(re.findall(r"[^\W\d_][\d@$*!]+[^\W\d_]", text))
-    stretched = len(re.findall(r"([^\W\d_])\1\1", low))
-    top = [*np.sort(weight)[::-1][:3].tolist(), 0.0, 0.0, 0.0]
+    data = text.encode()
+    upper = len(data) - len(data.translate(None, _CAPITALS)) + (0 if len(data) == len(text) else len(_BEYOND.findall(text)))
+    shouted = len(_SHOUTED.findall(text)) if upper >= 3 else 0
+    odd = len(_ODD.findall(text))
+    stretched = len(_STRETCHED.findall(low))
+    top = [*np.sort(weight[hits])[::-1][:3].tolist(), 0.0, 0.0, 0.0]
     return [
         np.log1p(n), top[0], top[1], top[2], float(weight.sum()), float(weight.sum()) / per, float(len(hits)), len(hits) / per, float(hidden.sum()),
         near / per, min(gap, 1e4), len(you) / per, upper / chars, shouted / per, text.count("!") / chars, text.count("?") / chars,
-        len(re.findall(r"[^\w\s]{2,}", text)) / per, odd / per, stretched / per,
+        len(_SIGNS.findall(text)) / per, odd / per, stretched / per,
     ]
 
 
@@ -104,17 +117,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            low = {w for w in _WORD.findall((text.as_py() or "").lower()) if 3 <= len(w) <= 30}
+            low = set(_WORD.findall((text.as_py() or "").lower()))
             counts[label].update({(fold, t) for w in low for t in terms_of(w)})
             if len(counts[0]) + len(counts[1]) > 300_000:
                 yield out()
     yield out()
 
 
-def lexica(train: DataFrame, folds: int = FOLDS, terms: int = TERMS, least: int = 3, odds: float = 1.5) -> list[dict[str, float]]:
+def lexica(train: DataFrame, folds: int = FOLDS, least: int = 3, odds: float = 1.5) -> list[dict[str, float]]:
     """Lexica of all folds but one each, and of all: terms -> smoothed log odds, those over ``odds`` with ``least`` toxic rows.
 
-    At most ``terms`` entries by odds times rows; the sums that this asks for are made in Spark.
+    Counts are summed in Spark; of the sampled rows' terms those that pass reach the driver.
     """
     sums = train.select("text", "label", "fold").mapInArrow(_counts, "fold int, term string, neg long, pos long").groupBy("fold", "term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     both = {(r["fold"], r["label"]): r["n"] for r in train.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
@@ -126,29 +139,30 @@ def lexica(train: DataFrame, folds: int = FOLDS, terms: int = TERMS, least: int
         pos, neg = (F.col(c) - F.col(f"{c}{f}") if f is not None else F.col(c) for c in ("pos", "neg"))
         n_pos, n_neg = all_pos - both.get((f, 1), 0), all_neg - both.get((f, 0), 0)
         weight = F.log((pos + 0.5) / (n_pos + 1.0)) - F.log((neg + 0.5) / (n_neg + 1.0))
-        out.append(wide.select(F.lit(len(out)).alias("which"), "term", weight.alias("w"), pos.alias("rows")).where((F.col("rows") >= least) & (F.col("w") >= odds)).orderBy(F.desc(F.col("w") * F.log1p("rows")), "term").limit(terms))
+        out.append(wide.select(F.lit(len(out)).alias("which"), "term", weight.alias("w"), pos.alias("rows")).where((F.col("rows") >= least) & (F.col("w") >= odds)))
     frame = out[0]
     for o in out[1:]:
         frame = frame.unionByName(o)
     found: list[dict[str, float]] = [{} for _ in out]
-    for r in frame.collect():  # terms * (folds + 1) at most
+    for r in frame.collect():  # words of the bounded sample
         found[r["which"]][r["term"]] = r["w"]
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int = SAMPLE, terms: int = TERMS, folds: int = FOLDS, scratch: Scratch | None = None):
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int = SAMPLE, folds: int = FOLDS, scratch: Scratch | None = None):
     """(model, isotonic, lexicon) from the labelled rows that are not held out; without both classes a constant."""
     scratch = scratch or Scratch(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.max("label").alias("label"))
     rate = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("l_id"), F.lit(10**12)) < int(10**12 * rate))
-    # The sample's bound is documented above, so its ids can be broadcast.
-    train = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "label", F.pmod(F.xxhash64("l_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")))
+    # The sample's bound is documented above, so its ids can be broadcast. Documents that repeat an id give one row.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "label").agg(F.min("text").alias("text"))
+    train = scratch.keep(met.select("text", "label", F.pmod(F.xxhash64("l_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")))
     classes = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
         return Constant(float(bool(classes.get(1)))), None, {}
-    found = lexica(train, folds, terms)
+    found = lexica(train, folds)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches = [Words(x, 100_000) for x in found]
@@ -170,17 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int
     return BoostedTrees().fit(x, y), Isotonic().fit(outside, y.astype(float)), found[-1]
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, threshold: float = THRESHOLD, keep: list[str] | None = None, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row, beside the columns of ``docs`` named in ``keep``.
-
-    Null text counts as empty, and empty texts are scored like any others; null and repeated doc_ids are kept. A doc_id with several labels counts
-    as toxic if one of them says so. Without labels of both kinds the score is 0, or 1 if all are 1. An empty table gives an empty result.
-    """
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """t_id, t_out, t_score, t_predicted, t_text and the other columns c0, c1, .. by their places, so that no names can clash."""
     model, calibrated, lexicon = fit(docs, labels, label, **options)
-    others = [c for c in keep or [] if c != "text"]
-    held = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(others)]
-    rows = docs.select(F.col("doc_id").alias("t_id"), held_out(F.col("doc_id")).alias("t_out"), F.col("text").alias("t_text"), *held)
-    columns = [c for c in rows.columns if c != "t_text" or "text" in (keep or [])]
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").alias("t_id"), held_out(F.col("doc_id")).alias("t_out"), F.col("text").alias("t_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lexicon)
@@ -190,12 +198,27 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, threshold
             else:
                 x = np.array([features(t.as_py() or "", words) for t in batch.column("t_text")]).reshape(-1, N_FEATURES)
                 p = calibrated.predict(model.raw(x))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*columns, "t_score", "t_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "t_score", "t_predicted"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, t_score double, t_predicted int")
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row; other columns are ignored.
+
+    Null text counts as empty, and empty texts are scored like any others; null and repeated doc_ids are kept. A doc_id with several labels counts
+    as toxic if one of them says so; of documents that repeat a doc_id the least text is learned from. Without labels of both kinds the score is 0, or 1 if all
+    are 1. An empty table gives an empty result.
+    """
+    out = scored(docs.select("doc_id", "text"), labels, label, **options)
+    return out.select(F.col("t_id").alias("doc_id"), F.col("t_out").alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"))
+
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in columns)
-    out = rows.mapInArrow(run, f"{kinds}, t_score double, t_predicted int")
-    source = {c: f"k_{i}" for i, c in enumerate(others)} | {"text": "t_text"}
-    return out.select(F.col("t_id").alias("doc_id"), F.col("t_out").alias("held_out"), F.col("t_score").alias("score"), F.col("t_predicted").alias("predicted"), *[F.col(source[c]).alias(c) for c in keep or [] if c != "doc_id"])
+def non_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", **options) -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not predict to be toxic, with all their columns, whatever their names."""
+    at = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c != "text")} | {"text": "t_text"}
+    return scored(docs, labels, label, **options).where("t_predicted = 0").select(*[F.col(at[c]).alias(c) for c in docs.columns])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
