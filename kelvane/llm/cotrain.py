@@ -1,12 +1,12 @@
 """Quality by co-training: a text view and a metadata view teach each other, and their calibrated scores are combined.
 
 The text view sees what a text consists of (shares of letters, capitals, signs and digits, word and line shapes, repetition); the metadata view sees
-language, source and length fields. Each view is a small boosted model. In every round each view labels those of a pool
-of unlabelled rows that it is sure of, and the other view learns from them with its own labelled rows. At the end each
-view is calibrated on labelled rows that its folds have not seen, and a logistic regression on both calibrated views scores all rows.
+how good labelled rows of the same language and source are, how many there are, and the length field. Each view is a small boosted model. In every round both
+views score all unlabelled rows in Spark; each labels those that it is sure of, the surest first, and the other view learns from them with its own labelled
+rows. At the end each view is calibrated on labelled rows that its folds have not seen, and a logistic regression on both calibrated views scores all rows.
 
-Bounds: at most ``sample`` labelled and ``pool`` unlabelled rows, chosen by a digest of doc_id, reach the driver as dense features. Every row
-of the input is scored in one pass without a shuffle.
+Bounds: at most ``sample`` labelled rows, chosen by a digest of doc_id and one for each doc_id, and ``teach`` pseudo-labelled rows of a class, view and round
+reach the driver as dense features. Texts are read once: their features are written, and every pass goes over those.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from kelvane.llm.common import Scratch, read
 from kelvane.llm.models import BoostedTrees, Isotonic, Logistic, logit
 
-SAMPLE, POOL, ROUNDS, SURE, FOLDS, SOURCES = 20_000, 20_000, 3, 0.95, 3, 200
+SAMPLE, TEACH, ROUNDS, SURE, FOLDS = 20_000, 4_000, 3, 0.95, 3
+N_TEXT, N_META = 22, 6
 
 _SIGNS = re.compile(r"[^\w\s]")
 _CAPITALS, _OTHERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(r"[^\x00-\x7f]")
@@ -53,25 +54,38 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None, langs: dict, sources: dict) -> list[float]:
-    """One column per known language and source, and the length field; unknown values have no column set."""
-    out = [0.0] * (len(langs) + len(sources) + 2)
-    if lang in langs:
-        out[langs[lang]] = 1.0
-    if source in sources:
-        out[len(langs) + sources[source]] = 1.0
-    out[-2:] = [np.log1p(max(0, n_chars or 0)), float(n_chars is None)]
-    return out
+class Rates:
+    """Per value of a field: smoothed log odds of a good label and the logarithm of its labelled rows. Null is a value; unknown ones have the odds of all rows."""
 
+    def __init__(self, values: list, y: np.ndarray, weight: float = 4.0):
+        prior = (y.sum() + 1) / (len(y) + 2)
+        sums: dict = {}
+        for v, label in zip(values, y.tolist(), strict=True):
+            own = sums.setdefault(v, [0, 0])
+            own[label] += 1
+        odds = lambda neg, pos: float(np.log((pos + weight * prior) / (neg + weight * (1 - prior))))
+        self.known = {v: (odds(*n), float(np.log1p(sum(n)))) for v, n in sums.items()}
+        self.unknown = (odds(0, 0), 0.0)
+
+    def __call__(self, value) -> tuple[float, float]:
+        return self.known.get(value, self.unknown)
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None, langs: Rates, sources: Rates) -> list[float]:
+    return [*langs(lang), *sources(source), float(np.log1p(max(0, n_chars or 0))), float(n_chars is None)]
 
-def _views(lang_ids: dict, source_ids: dict, carried: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = [text_features(x.as_py() or "") for x in batch.column("text")]
-            m = [meta_features(a, b, c, lang_ids, source_ids) for a, b, c in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "n_chars")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(t, pa.list_(pa.float64())), pa.array(m, pa.list_(pa.float64()))], [*carried, "t", "m"])
 
-    return run
+def _text_view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t = [text_features(x.as_py() or "") for x in batch.column("text")]
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(t, pa.list_(pa.float64()))], [*rest, "t"])
+
+
+def both_views(batch: pa.RecordBatch, langs: Rates, sources: Rates) -> tuple[np.ndarray, np.ndarray]:
+    t = batch.column("t").flatten().to_numpy().reshape(-1, N_TEXT)
+    m = [meta_features(a, b, c, langs, sources) for a, b, c in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "n_chars")), strict=True)]
+    return t, np.array(m).reshape(-1, N_META)
 
 
 class View:
@@ -94,31 +108,30 @@ class View:
         return self.calibrated.predict(self.model.raw(x))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, folds: int = FOLDS):
-    """(text view, metadata view, combination, rows taught per round)."""
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, propose, rounds: int = ROUNDS, teach: int = TEACH, folds: int = FOLDS):
+    """(text view, metadata view, combination, rows taught per round).
+
+    propose(views, most, given) gives (view, label, key, text features, metadata features) of unlabelled rows that the view is sure of, the surest first.
+    In a round a view teaches at most ``teach`` rows of a class, and no more than there are labelled ones, so that classes keep their shares.
+    """
     own = len(y)
-    given: list[dict[int, int]] = [{}, {}]  # pool rows that each view was given
+    given: list[dict] = [{}, {}]  # key -> (features, label) that each view was given
     taught = []
-    views: list[View] = []
-    pools = (pool_text, pool_meta)
+    most = [min(teach, int((y == label).sum())) for label in (0, 1)]
     for r in range(rounds + 1):
         views = []
-        for x, pool, extra in ((text, pool_text, given[0]), (meta, pool_meta, given[1])):
-            rows = np.array(sorted(extra), np.int64)
-            labels = np.array([extra[i] for i in rows], np.int64)
-            views.append(View().fit(np.concatenate([x, pool[rows]]), np.concatenate([y, labels]), own, fold, folds))
-        if r == rounds or not len(pool_text):
+        for x, extra in ((text, given[0]), (meta, given[1])):
+            more = [extra[k] for k in sorted(extra)]
+            views.append(View().fit(np.concatenate([x, *(f[None] for f, _ in more)]), np.concatenate([y, np.array([label for _, label in more], np.int64)]), own, fold, folds))
+        if r == rounds:
             break
         new = [0, 0]
-        for me in (0, 1):
-            p = views[me].predict(pools[me])
-            other = given[1 - me]
-            for label, at in ((1, np.flatnonzero(p >= sure)), (0, np.flatnonzero(p <= 1 - sure))):
-                # As many of a class as labelled rows of it at most in a round, the surest first, so that classes keep their shares.
-                order = at[np.argsort(-p[at] if label else p[at], kind="stable")][: int((y == label).sum())]
-                for i in order.tolist():
-                    new[me] += i not in other
-                    other.setdefault(i, label)
+        counts = dict.fromkeys([(me, label) for me in (0, 1) for label in (0, 1)], 0)
+        for me, label, key, t, m in propose(views, most, given):
+            if key not in given[1 - me] and counts[me, label] < most[label]:
+                given[1 - me][key] = (m if me == 0 else t, label)
+                counts[me, label] += 1
+                new[me] += 1
         taught.append(tuple(new))
         if not any(new):
             break
@@ -126,34 +139,63 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray,
     return views[0], views[1], Logistic().fit(both, y.astype(float)), taught
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS, held_out=None):
-    """What ``score`` needs; None without labels of both kinds."""
+def proposals(free: DataFrame, langs: Rates, sources: Rates, scratch: Scratch, sure: float):
+    """``propose`` of ``cotrain`` over all rows of a written table (row, tie, lang, source, n_chars, t)."""
+
+    def propose(views, most, given):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                t, m = both_views(batch, langs, sources)
+                p = [views[0].predict(t), views[1].predict(m)]
+                keep = pa.array((np.maximum(*p) >= sure) | (np.minimum(*p) <= 1 - sure))
+                columns = [batch.column("row"), batch.column("tie"), batch.column("t"), pa.array(list(m), pa.list_(pa.float64())), *map(pa.array, p)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "tie", "t", "m", "p0", "p1"]).filter(keep)
+
+        rows = scratch.keep(free.select("row", "tie", "lang", "source", "n_chars", "t").mapInArrow(run, "row long, tie long, t array<double>, m array<double>, p0 double, p1 double"))
+        for me in (0, 1):
+            p = F.col(f"p{me}")
+            for label, certain, first in ((1, p >= sure, p.desc()), (0, p <= 1 - sure, p.asc())):
+                if most[label]:
+                    # What the other view was given before may stand first again.
+                    best = rows.where(certain).orderBy(first, "tie", "row").limit(most[label] + len(given[1 - me])).select("row", "t", "m").toArrow()
+                    for key, t, m in zip(*(best.column(c).to_pylist() for c in ("row", "t", "m")), strict=True):
+                        yield me, label, key, np.array(t), np.array(m)
+        scratch.drop(rows)
+
+    return propose
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, teach: int = TEACH, rounds: int = ROUNDS, sure: float = SURE, held_out=None):
+    """(written features of all rows, what ``score`` needs; None for that without labels of both kinds)."""
     scratch = Scratch(docs.sparkSession)
-    known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("l_id").isNotNull())
+    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("l_id").isNotNull())
     if held_out is not None:
         known = known.where(~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.min("label").alias("label"))
-    fine = F.lit(10**12)
-    chosen = known.where(F.pmod(F.xxhash64("l_id"), fine) < int(1e12 * min(1.0, sample / max(1, known.count()))))
-    names = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    some = names.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), fine) < int(1e12 * min(1.0, pool / max(1, docs.count()))))
-    # Both sides' ids are bounded by sample; the pool's rows without a label are the unlabelled ones.
-    labelled = names.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).drop("l_id")
-    rest = some.join(F.broadcast(chosen.select("l_id")), F.col("doc_id") == F.col("l_id"), "left_anti").withColumn("label", F.lit(-1))
-    rows = scratch.keep(labelled.unionByName(rest))
-    top = lambda c: {r[0]: i for i, r in enumerate(rows.where("label >= 0").groupBy(c).count().where(F.col(c).isNotNull()).orderBy(F.desc("count"), c).limit(SOURCES).collect())}
-    lang_ids, source_ids = top("lang"), top("source")
-    kinds = ("doc_id long, label int, fold int, t array<double>, m array<double>")
-    dealt = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
-    data = dealt.mapInArrow(_views(lang_ids, source_ids, ["doc_id", "label", "fold"]), kinds).toArrow()
+    chosen = known.where(F.pmod(F.xxhash64("l_id"), F.lit(10**12)) < int(1e12 * min(1.0, sample / max(1, known.count()))))
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    # The sample bounds the ids, so they can be broadcast.
+    told = names.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"), "left").select("doc_id", "text", "lang", "source", "n_chars", "label", F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", F.lit(2)).alias("tie"))
+    table = scratch.keep(told.mapInArrow(_text_view, "doc_id long, lang string, source string, n_chars long, label int, row long, tie long, t array<double>"))
+    one = table.where("label is not null").groupBy("doc_id").agg(F.min("row").alias("o_row"))
+    data = table.join(one.select("o_row"), F.col("row") == F.col("o_row")).select("doc_id", "label", "lang", "source", "n_chars", "t", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")).toArrow()
+    data = data.sort_by("doc_id")
     y, fold = (data.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
-    t, m = (data.column(c).combine_chunks().values.to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 1)) for c in ("t", "m"))
-    order = np.lexsort([t[:, 0], data.column("doc_id").to_numpy(), y])
-    y, fold, t, m = y[order], fold[order], t[order], m[order]
-    own, free = y >= 0, y < 0
-    if len(np.unique(y[own])) < 2:
-        return None
-    return (*cotrain(t[own], m[own], y[own], fold[own], t[free], m[free], rounds), lang_ids, source_ids)
+    if len(np.unique(y)) < 2:
+        return table, None
+    lang, source, n_chars = (data.column(c).to_pylist() for c in ("lang", "source", "n_chars"))
+    rates = lambda at: [Rates([v[i] for i in at.tolist()], y[at]) for v in (lang, source)]
+    m = np.zeros((len(y), N_META))
+    for f in range(FOLDS):  # a row's own label is not in its rates
+        langs, sources = rates(np.flatnonzero(fold != f))
+        for i in np.flatnonzero(fold == f).tolist():
+            m[i] = meta_features(lang[i], source[i], n_chars[i], langs, sources)
+    langs, sources = rates(np.arange(len(y)))
+    t = data.column("t").combine_chunks().flatten().to_numpy().reshape(-1, N_TEXT)
+    propose = proposals(table.where("label is null"), langs, sources, scratch, sure)
+    return table, (*cotrain(t, m, y, fold, propose, rounds, teach), langs, sources)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
@@ -163,23 +205,21 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **optio
     with several labels counts as good if all of them say so. Without labels of both kinds all scores are null and all rows are kept. An empty
     table gives an empty result; other columns are ignored.
     """
-    fitted = fit(docs, labels, **options)
-    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    table, fitted = fit(docs, labels, **options)
     if fitted is None:
-        return names.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("keep"))
-    text_view, meta_view, combine, _, lang_ids, source_ids = fitted
-    views = _views(lang_ids, source_ids, ["doc_id"])
+        return table.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("keep"))
+    text_view, meta_view, combine, _, langs, sources = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in views(batches):
+        for batch in batches:
             if not len(batch):
                 continue
-            t, m = (np.array(batch.column(c).to_pylist()) for c in ("t", "m"))
+            t, m = both_views(batch, langs, sources)
             a, b = text_view.predict(t), meta_view.predict(m)
             p = combine.predict(np.column_stack([logit(a), logit(b)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= threshold)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return names.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return table.select("doc_id", "lang", "source", "n_chars", "t").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
