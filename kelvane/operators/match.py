@@ -6,13 +6,16 @@ next one. Spark broadcasts an index where its size allows; nothing is hinted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelvane.config import FUZZY_THRESHOLD
 from kelvane.functions import text as X
-from kelvane.functions.similarity import length_bound, ratio, with_domain_fit
+from kelvane.functions.similarity import ratio, with_domain_fit
+from kelvane.operators.components import connected
 from kelvane.sources.store import ensure_checkpoint_dir
 
 # The reasons that results carry.
@@ -42,19 +45,43 @@ def name_index(known: DataFrame) -> DataFrame:
     return rows.groupBy("norm").agg(F.min_by(X.strip(F.col("name")), "pos").alias("n_name"), F.min("pos").alias("n_pos"))
 
 
+#: A first character's candidates are dealt to so many parts, each with its known names.
+SALTS = 32
+#: Characters that normalised names consist of.
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 &+-"
+
+
+def _letters(norm: Column) -> Column:
+    """A set of marks: of each character's first four occurrences one bit each, 16 characters to a long; ``more`` counts all others."""
+    count = [F.length(norm) - F.length(F.translate(norm, c, "")) for c in _ALPHABET]
+    longs = []
+    for at in range(0, len(_ALPHABET), 16):
+        marks = [F.shiftleft(F.element_at(F.array(*[F.lit(2**n - 1).cast("long") for n in range(5)]), F.least(n, F.lit(4)) + 1), 4 * i) for i, n in enumerate(count[at : at + 16])]
+        longs.append(reduce(Column.bitwiseOR, marks).alias(f"l{at // 16}"))
+    few = reduce(Column.__add__, [F.least(n, F.lit(4)) for n in count])
+    return F.struct(*longs, (F.length(norm) - few).alias("more"), F.length(norm).alias("n"))
+
+
+def shared_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two names cannot exceed, by their marks: both have to have a matched character."""
+    common = reduce(Column.__add__, [F.bit_count(a[f"l{i}"].bitwiseAND(b[f"l{i}"])) for i in range(-(-len(_ALPHABET) // 16))]) + F.least(a["more"], b["more"])
+    return 2 * common / F.greatest(a["n"] + b["n"], F.lit(1))
+
+
 def fuzzy(open_rows: DataFrame, names: DataFrame, key: str, threshold: float = FUZZY_THRESHOLD, exact_best: bool = False) -> DataFrame:
     """(key, f_name, f_score): the most similar known name with the same first character; ties go to the first known.
 
-    Pairs that cannot reach the threshold by their lengths are left out, unless the best score of rows without a match is
-    asked for. Pairs are of distinct normalised names on both sides.
+    Pairs are of distinct normalised names on both sides. Each name's pair of the fewest edits is scored first; of its others only those are scored whose bound
+    reaches that score, which no better pair can miss. Without ``exact_best`` pairs whose bound is below the threshold are left out as well.
     """
-    left = open_rows.select(F.col("norm").alias("c_norm")).distinct().withColumn("ch", F.substring("c_norm", 1, 1))
-    right = names.select(F.col("norm").alias("k_norm"), "n_name", "n_pos").withColumn("ch", F.substring("k_norm", 1, 1))
-    pairs = left.join(right, "ch")
-    if not exact_best:
-        pairs = pairs.where(length_bound(F.col("c_norm"), F.col("k_norm")) >= threshold)
-    scored = pairs.withColumn("score", ratio(F.col("c_norm"), F.col("k_norm"))).where("score > 0")
-    best = scored.groupBy("c_norm").agg(F.max("score").alias("f_score"), F.min_by("n_name", F.struct((-F.col("score")).alias("s"), "n_pos")).alias("f_name"))
+    left = open_rows.select(F.col("norm").alias("c_norm")).distinct().select("c_norm", F.substring("c_norm", 1, 1).alias("ch"), F.pmod(F.xxhash64("c_norm"), F.lit(SALTS)).cast("int").alias("salt"), _letters(F.col("c_norm")).alias("c"))
+    right = names.select(F.col("norm").alias("k_norm"), "n_name", "n_pos", F.substring("norm", 1, 1).alias("ch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), _letters(F.col("norm")).alias("k"))
+    pairs = left.repartition(SALTS, "ch", "salt").join(right, ["ch", "salt"]).select("c_norm", "k_norm", "n_name", "n_pos", shared_bound(F.col("c"), F.col("k")).alias("bound")).where(F.col("bound") >= (0.0 if exact_best else threshold))
+    first = pairs.groupBy("c_norm").agg(F.min_by("k_norm", F.levenshtein("c_norm", "k_norm")).alias("k_norm"))
+    reached = first.select(F.col("c_norm").alias("r_norm"), ratio(F.col("c_norm"), F.col("k_norm")).alias("reached"))
+    wanted = pairs.join(reached, F.col("c_norm") == F.col("r_norm")).where(F.col("bound") >= F.col("reached") - 1e-9)
+    scored = wanted.withColumn("score", ratio(F.col("c_norm"), F.col("k_norm")))  # a filter on it would go below the join, to all pairs
+    best = scored.groupBy("c_norm").agg(F.max("score").alias("f_score"), F.min_by("n_name", F.struct((-F.col("score")).alias("s"), "n_pos")).alias("f_name")).where("f_score > 0")
     return open_rows.select(key, "norm").join(best, F.col("norm") == F.col("c_norm")).select(key, "f_name", "f_score")
 
 
@@ -85,39 +112,64 @@ def match(candidates: DataFrame, known: DataFrame, *, key: str = "cand_idx", nam
 
 def _greedy(key: str):
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        domains, names, repeated = set(), set(), []
-        pdf = pdf.sort_values(key, kind="stable")
-        for domain, norm, dup in zip(pdf["domain"], pdf["norm"], pdf["is_duplicate"], strict=True):
-            again = bool(domain and domain in domains or norm and norm in names)
-            repeated.append(again)
-            if not again and not dup:
-                domains.add(domain)
-                names.add(norm)
-        return pdf[[key]].assign(in_batch=repeated)
+        taken, fresh = set(), []
+        for k, domain, name in sorted(zip(pdf[key], pdf["dk"], pdf["nk"], strict=True)):
+            own = {x for x in (("d", domain), ("n", name)) if x[1] is not None}
+            if not own & taken:
+                taken |= own
+                fresh.append(k)
+        return pd.DataFrame({key: fresh})
 
     return decide
 
 
-def partition(matched: DataFrame, *, key: str = "cand_idx", rounds: int = 40) -> DataFrame:
-    """Adds is_fresh, duplicate_of, duplicate_reason to matched candidates: greedy in the order of ``key``.
+def fresh_ones(rows: DataFrame, key: str, rounds: int = 6) -> DataFrame:
+    """(key, dk, nk) of the rows that a greedy pass in the order of ``key`` takes: those that share dk or nk (or null) with none taken before.
 
-    Only fresh candidates reserve their domain and name for later ones. Candidates that share a domain or name, directly or over
-    others, are decided together in order; such groups are found first, so that groups are decided in parallel.
+    In a round all rows are taken that are the first open ones of their dk and of their nk, and those that share one with them go; a key that very many
+    share costs one round. Long chains of rows, each blocked by the one before, would take as many rounds as they are long. What ``rounds`` leave open
+    is split into connected groups, and each is decided in order in one task, which holds its keys.
     """
-    label = matched.select(key, "domain", "norm", "is_duplicate", F.col(key).alias("label"))
-    ensure_checkpoint_dir(matched.sparkSession)
-    previous = None
+    ensure_checkpoint_dir(rows.sparkSession)
+    open_rows, out = rows, []
     for _ in range(rounds):
-        for shared in ("domain", "norm"):
-            low = label.where(F.col(shared) != "").groupBy(shared).agg(F.min("label").alias("low"))
-            label = label.join(low, shared, "left").withColumn("label", F.least("label", F.coalesce("low", "label"))).drop("low")
-        label = label.select(key, "domain", "norm", "is_duplicate", "label")
-        label = label.checkpoint()
-        total = label.agg(F.sum("label")).first()[0]
-        if total == previous:
+        tagged = open_rows
+        for k in ("dk", "nk"):
+            low = open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(key).alias(f"{k}_low"))
+            tagged = tagged.join(low, k, "left")
+        tagged = tagged.withColumn("first", F.coalesce(F.col("dk_low") == F.col(key), F.lit(True)) & F.coalesce(F.col("nk_low") == F.col(key), F.lit(True))).select(key, "dk", "nk", "first").checkpoint()
+        out.append(tagged.where("first").select(key, "dk", "nk"))
+        rest = tagged.where("not first").select(key, "dk", "nk")
+        for k in ("dk", "nk"):
+            rest = rest.join(out[-1].where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        open_rows = rest.select(key, "dk", "nk").checkpoint()
+        if open_rows.isEmpty():
             break
-        previous = total
-    decided = label.groupBy("label").applyInPandas(_greedy(key), f"{key} long, in_batch boolean")
+    else:
+        pairs = [open_rows.join(open_rows.groupBy(k).agg(F.min(key).alias("b")), k).select(F.col(key).alias("a"), "b") for k in ("dk", "nk")]
+        roots = connected(pairs[0].unionByName(pairs[1]))
+        grouped = open_rows.join(roots, F.col(key) == F.col("node"), "left").withColumn("root", F.coalesce("root", key))
+        taken = grouped.select("root", key, "dk", "nk").groupBy("root").applyInPandas(_greedy(key), f"{key} long")
+        out.append(open_rows.join(taken, key, "left_semi").select(key, "dk", "nk"))
+    frame = out[0]
+    for o in out[1:]:
+        frame = frame.unionByName(o)
+    return frame
+
+
+def partition(matched: DataFrame, *, key: str = "cand_idx", rounds: int = 6) -> DataFrame:
+    """Adds is_fresh, duplicate_of, duplicate_reason to matched candidates: greedy in the order of ``key``, a unique long.
+
+    Only fresh candidates reserve their domain and name for later ones; one that the index knows reserves nothing. Keys are compared by 128-bit digests.
+    """
+    digest = lambda c: F.when(F.col(c) != "", F.md5(F.col(c).cast("binary")))
+    keyed = matched.select(key, digest("domain").alias("dk"), digest("norm").alias("nk"), "is_duplicate")
+    taken = fresh_ones(keyed.where(~F.col("is_duplicate")).select(key, "dk", "nk"), key, rounds).checkpoint()
+    decided = keyed
+    for k in ("dk", "nk"):  # no two fresh ones share a key
+        decided = decided.join(taken.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(key).alias(f"{k}_by")), k, "left")
+    again = lambda k: F.coalesce(F.col(f"{k}_by") < F.col(key), F.lit(False))
+    decided = decided.select(key, (again("dk") | again("nk")).alias("in_batch"))
     out = matched.join(decided, key)
     return out.select(
         *matched.columns, (~F.col("in_batch") & ~F.col("is_duplicate")).alias("is_fresh"),

@@ -189,7 +189,7 @@ def q_match_fuzzy(spark, d):
     s = read(spark, d, "supplier")
     known = s.select(F.struct(F.lit(0), "s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.lit("").alias("url"))
     typo = F.concat(F.substring("s_name", 1, 4), F.expr("substring(s_name, 6)"), F.lit(" AG"))
-    return J.match(s.select(F.col("s_suppkey").alias("cand_idx"), typo.alias("name"), F.lit("").alias("url")), known, exact_best=False).select("cand_idx", "is_duplicate", "matched_company", "score")
+    return J.match(s.select(F.col("s_suppkey").alias("cand_idx"), typo.alias("name"), F.lit("").alias("url")), known).select("cand_idx", "is_duplicate", "matched_company", "score")
 
 
 @query()
@@ -198,7 +198,7 @@ def q_similarity(spark, d):
     return p.select("p_brand", "p_type", ratio("p_brand", "p_type").alias("score"))
 
 
-@query()
+@query("SELECT doc_id AS cand_idx, coalesce(text, '') = '' OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_fresh, CASE WHEN coalesce(text, '') <> '' AND row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN '(innerhalb dieses Laufs)' END AS duplicate_of FROM documents")
 def q_batch_partition(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("cand_idx"), F.lit("").alias("domain"), F.coalesce("text", F.lit("")).alias("norm"), F.lit(False).alias("is_duplicate"), F.lit("").alias("matched_company"), F.lit("").alias("reason"))
     return J.partition(docs).select("cand_idx", "is_fresh", "duplicate_of")

@@ -17,30 +17,29 @@ def normalize_header(value) -> str:
 
 
 def _stem(header: str) -> str:
-    return re.split(r"[:(]", header, maxsplit=1)[0].strip() if header else ""
+    return re.split(r"[:(]", header, maxsplit=1)[0].strip()
+
+
+def _fit(want: str, got: str) -> int | None:
+    """0 for equal headers, 1 if one begins as the other does (up to a colon or bracket), None if neither."""
+    if want == got:
+        return 0
+    short, own = _stem(want), _stem(got)
+    return 1 if got and any(x.startswith(y) for x, y in ((got, short), (own, short), (short, own))) else None
 
 
 def resolve_columns(headers: list, columns=COLUMNS) -> dict[str, int]:
-    """field -> position. Equal headers bind first; fields that stay open take the first free header with a fitting beginning."""
+    """field -> position, by falling fit: all equal headers first, then like beginnings, each in the order of the contract and of the table."""
     have = [normalize_header(h) for h in headers]
-    bound: dict[str, int] = {}
-    for field, header in columns:
-        at = next((i for i, h in enumerate(have) if h == normalize_header(header)), None)
-        if at is not None and at not in bound.values():
-            bound[field] = at
-
-    def fits(want: str, got: str) -> bool:
-        own = _stem(got)
-        return got.startswith(want) or own.startswith(want) or want.startswith(own)
-
-    for field, header in columns:
-        if field not in bound:
-            free = (i for i, h in enumerate(have) if h and i not in bound.values() and fits(_stem(normalize_header(header)), h))
-            if (at := next(free, None)) is not None:
-                bound[field] = at
-    if missing := [h for f, h in columns if f not in bound]:
-        raise SchemaError(f"{len(missing)} required columns not found: {missing}; found: {[str(h)[:40] for h in headers]}")
-    return dict(sorted(bound.items(), key=lambda kv: [f for f, _ in columns].index(kv[0])))
+    fits = [(fit, f, i) for f, (_, header) in enumerate(columns) for i, got in enumerate(have) if (fit := _fit(normalize_header(header), got)) is not None]
+    at: dict[int, int] = {}
+    for _, f, i in sorted(fits):
+        if f not in at and i not in at.values():
+            at[f] = i
+    if len(at) < len(columns):
+        lacking = ", ".join(repr(header) for f, (_, header) in enumerate(columns) if f not in at)
+        raise SchemaError(f"no header for {lacking} among {have}")
+    return {field: at[f] for f, (field, _) in enumerate(columns)}
 
 
 def bind(df: DataFrame, columns=COLUMNS, keep=("row_idx", "company_id_is_float")) -> DataFrame:

@@ -105,19 +105,56 @@ def test_match(spark, master):
     assert got[1].reason == "gleiche Domain (makersite.io)" and got[3].score == SequenceMatcher(None, "makersitte", "makersite").ratio() and got[4].reason == "leerer Firmenname"
 
 
-def test_partition_against_a_loop(spark):
-    random.seed(9)
-    cases = [(i, random.choice(["", *"abcdefghijkl"]), random.choice(["", *"mnopqrstuv"]), random.random() < 0.2) for i in range(250)]
-    want, d, n = {}, set(), set()
+def loop(cases):
+    """The greedy pass itself."""
+    out, d, n = {}, set(), set()
     for i, dom, norm, dup in cases:
         again = bool(dom and dom in d or norm and norm in n)
-        want[i] = (not again and not dup, again)
+        out[i] = (not again and not dup, again)
         if not again and not dup:
             d.add(dom)
             n.add(norm)
+    return out
+
+
+def decided(spark, cases, **options):
     df = spark.createDataFrame(cases, "cand_idx long, domain string, norm string, is_duplicate boolean").withColumn("matched_company", F.lit("k")).withColumn("reason", F.lit("r"))
-    got = J.partition(df).collect()
-    assert {r.cand_idx: (r.is_fresh, r.duplicate_of == J.IN_BATCH[0]) for r in got} == want
+    return {r.cand_idx: (r.is_fresh, r.duplicate_of == J.IN_BATCH[0]) for r in J.partition(df, **options).collect()}
+
+
+def test_partition_of_random_candidates(spark):
+    rng = random.Random(9)
+    cases = [(i, rng.choice(["", *"abcdefghijkl"]), rng.choice(["", *"mnopqrstuv"]), rng.random() < 0.2) for i in range(250)]
+    assert decided(spark, cases) == loop(cases)
+
+
+def test_partition_of_long_chains(spark):
+    """Each shares its domain with the one before and its name with the one after, in order and out of it."""
+    chain = [(i, f"d{i // 2}", f"n{(i + 1) // 2}", False) for i in range(1000)]
+    places = list(range(1000, 2000))
+    random.Random(3).shuffle(places)
+    mixed = sorted((p, f"e{i // 2}", f"m{(i + 1) // 2}", i % 97 == 0) for i, p in enumerate(places))
+    hub = [(3000 + i, "hub", f"h{i % 40}", False) for i in range(300)]
+    cases = [*chain, *mixed, *hub]
+    assert decided(spark, cases, rounds=2) == loop(cases)
+
+
+def test_fuzzy_against_a_loop(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abce 12&") for _ in range(rng.randrange(1, 14))).strip()
+    known = sorted({w for w in (word() for _ in range(150)) if w})
+    asked = sorted({w for w in (word() for _ in range(60)) if w} - set(known))
+    names = spark.createDataFrame([(k, k.upper(), i) for i, k in enumerate(known)], "norm string, n_name string, n_pos int")
+    rows = spark.createDataFrame(list(enumerate(asked)), "cand_idx long, norm string")
+    want = {}
+    for i, a in enumerate(asked):
+        best = max(((SequenceMatcher(None, a, k).ratio(), -j) for j, k in enumerate(known) if k[0] == a[0]), default=None)
+        if best and best[0] > 0:
+            want[i] = (known[-best[1]].upper(), best[0])
+    got = {r.cand_idx: (r.f_name, r.f_score) for r in J.fuzzy(rows, names, "cand_idx", exact_best=True).collect()}
+    assert len(want) > 40 and got == want
+    sure = {r.cand_idx: (r.f_name, r.f_score) for r in J.fuzzy(rows, names, "cand_idx", 0.8).collect() if r.f_score >= 0.8}
+    assert sure == {i: v for i, v in want.items() if v[1] >= 0.8}
 
 
 def batch_file(tmp_path, companies):
