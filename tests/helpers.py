@@ -6,11 +6,12 @@ from xml.sax.saxutils import escape
 from kelvane.config import COLUMNS, FIELDS
 
 T1, T2, T3 = "Tier 1 - Direkt", "Tier 2 - Nachbar", "Tier 3 - Beobachten"
+# A detail row before its header row, ids of three spellings, a page title as address, a broken encoding and tiers of two spellings.
 MASTER_ROWS = [
-    {"company_id": "1.0", "company": "Makersite", "row_kind": "Company information", "key_categories": "5. Sustainability & Compliance (LCA/DPP)", "url": "https://makersite.io/ | Berlin, Germany", "founding_year": "2018", "location": "Stuttgart", "competitor_tier": T1, "beachhead": "Cross-cutting"},
-    {"company_id": "1.0", "company": "Makersite", "product_name": "Makersite Platform", "row_kind": "Product", "sub_category": "LCA Software & Platforms", "url": "https://makersite.io/platform", "competitor_tier": T1},
-    {"company_id": "2.0", "company": "Autodesk", "row_kind": "Company information", "sub_category": "8. Other / Cross-cutting", "url": "Was ist PLM? | Product Lifecycle Management | Autodesk", "competitor_tier": T2, "beachhead": "Cross-cutting"},
-    {"company_id": "3.0", "company": "Physna", "product_name": "Physna Core", "row_kind": "Product", "remarks": "N/A (nicht Ã¶ffentlich)", "url": "https://physna.com", "competitor_tier": T3, "beachhead": "Cross-cutting"},
+    {"company_id": "7.0", "company": "Quillfern", "product_name": "Quillfern Bench", "row_kind": "Product", "sub_category": "Testing & Validation", "url": "https://quillfern.at/bench", "competitor_tier": T1},
+    {"company_id": "7.0", "company": "Quillfern", "row_kind": "Company information", "key_categories": "2. Simulation & Analysis (CAE)", "url": "https://quillfern.at | Graz", "founding_year": "2011", "location": "Graz", "competitor_tier": "tier 1 nah", "beachhead": "Machinery"},
+    {"company_id": "9.5", "company": "Ostrava Loom", "product_name": "Loom Lite", "row_kind": "Product", "remarks": "n/a laut FÃ¶hn", "url": "https://loom.example", "competitor_tier": T3},
+    {"company_id": "12", "company": "Brack & Sohn", "row_kind": "Company information", "sub_category": "AI & ML Tools", "url": "Startseite - Brack", "competitor_tier": T2},
 ]
 SCHEMA = "row_idx long, company_id_is_float boolean, " + ", ".join(f"{f} string" for f in FIELDS)
 

@@ -18,7 +18,7 @@ from kelvane.sources import store as S
 from kelvane.sources.xlsx import read_master
 from kelvane.streaming.inbox import job_counts, watch
 
-from helpers import MASTER_ROWS, T1, master_frame, write_xlsx
+from helpers import MASTER_ROWS, master_frame, write_xlsx
 
 VOC = Vocabulary.load()
 DAY = "2026-01-02"
@@ -41,31 +41,31 @@ def test_xlsx(spark, tmp_path):
 
 def test_blocks(spark, master):
     b = {r.company: r for r in B.blocks(master).collect()}
-    assert set(b) == {"Makersite", "Autodesk", "Physna"}
-    assert b["Makersite"].company_row.location == "Stuttgart" and [p.product_name for p in b["Makersite"].product_rows] == ["Makersite Platform"] and b["Makersite"].row_indices == [0, 1]
-    assert b["Autodesk"].product_rows == [] and b["Physna"].company_row is None and b["Physna"].block_key == "id:3"
-    assert B.next_id(master).first()[0] == 4
+    assert set(b) == {"Quillfern", "Ostrava Loom", "Brack & Sohn"}
+    assert b["Quillfern"].company_row.location == "Graz" and [p.product_name for p in b["Quillfern"].product_rows] == ["Quillfern Bench"] and b["Quillfern"].row_indices == [0, 1]
+    assert b["Brack & Sohn"].product_rows == [] and b["Ostrava Loom"].company_row is None and b["Ostrava Loom"].block_key == "id:9"
+    assert B.next_id(master).first()[0] == 13
     assert B.next_id(master.limit(0)).first()[0] == 1
     urls = {r.block_key: r.urls for r in B.block_urls(master).collect()}
-    assert urls == {"id:1": ["https://makersite.io/ | Berlin, Germany", "https://makersite.io/platform"], "id:3": ["https://physna.com"]}
+    assert urls == {"id:7": ["https://quillfern.at | Graz", "https://quillfern.at/bench"], "id:9": ["https://loom.example"]}
     miss = {r.block_key: r.missing for r in B.missing_fields(master, ["product_name", "location", "sub_category", "founding_year", "usp"]).collect()}
-    assert miss == {"id:1": ["usp"], "id:2": ["product_name", "location", "founding_year", "usp"], "id:3": ["location", "sub_category", "founding_year", "usp"]}
-    again = master_frame(spark, [*MASTER_ROWS, {**MASTER_ROWS[0], "product_name": "late header"}, {"company": " NoId ", "row_kind": "x"}])
+    assert miss == {"id:7": ["usp"], "id:12": ["product_name", "location", "founding_year", "usp"], "id:9": ["location", "sub_category", "founding_year", "usp"]}
+    again = master_frame(spark, [*MASTER_ROWS, {**MASTER_ROWS[1], "product_name": "late header"}, {"company": " No id ", "row_kind": "x"}])
     k = P.kpis(again).first().asDict()
     assert k == {"rows": 6, "blocks": 4, "detail_rows": 4, "blocks_with_header": 2, "blocks_with_details": 2}
-    assert [(r.company, r.n_details) for r in P.top_entities(again).collect()] == [("Makersite", 2), ("Physna", 1), ("NoId", 1), ("Autodesk", 0)]
+    assert [(r.company, r.n_details) for r in P.top_entities(again).collect()] == [("Quillfern", 2), ("Ostrava Loom", 1), ("No id", 1), ("Brack & Sohn", 0)]
 
 
 def test_profile_and_search(master):
-    assert [tuple(r) for r in P.tier_histogram(master).collect()] == [("Tier 1 - Direkt", 2), ("Tier 2 - Nachbar", 1), ("Tier 3 - Beobachten", 1)]
+    assert [tuple(r) for r in P.tier_histogram(master).collect()] == [("Tier 1 - Direkt", 1), ("Tier 2 - Nachbar", 1), ("Tier 3 - Beobachten", 1), ("tier 1 nah", 1)]
     rates = {r.field: (r.filled, r.pct) for r in P.fill_rates(master).collect()}
     assert rates["company"] == (4, 100.0) and rates["remarks"] == (0, 0.0) and rates["product_name"] == (2, 50.0)
     assert {r.field: r.filled for r in P.fill_rates(master, policy="blank").collect()}["remarks"] == 1
     assert P.fill_rates(master.limit(0)).first().pct is None
     assert P.fill_bars(P.fill_rates(master, policy="blank")).where("field = 'company'").first().bar == "#" * 25
-    assert [r.company for r in P.search(master).collect()] == ["Autodesk", "Makersite", "Physna"]
-    assert [r.company for r in P.search(master, "MAKER", "Tier 1").collect()] == ["Makersite"] and P.search(master, "_").count() == 0
-    assert [r.row_idx for r in P.lookup(master, "Makersite").collect()] == [0, 1]
+    assert [r.company for r in P.search(master).collect()] == ["Brack & Sohn", "Ostrava Loom", "Quillfern"]
+    assert [r.company for r in P.search(master, "QUILL", "tier 1").collect()] == ["Quillfern"] and P.search(master, "_").count() == 0
+    assert [r.row_idx for r in P.lookup(master, "Quillfern").collect()] == [1, 0]
 
 
 def test_quality(spark, master):
@@ -99,10 +99,10 @@ def test_duplicate_rule_against_a_loop(spark):
 
 def test_match(spark, master):
     known = J.known_entities(master, B.MASTER)
-    cases = [(0, "Makersite GmbH", ""), (1, "Other", "https://www.makersite.io/x"), (2, "Brand New AG", "https://brandnew.example"), (3, "Makersitte", ""), (4, "GmbH", ""), (5, "Autodesk Inc.", "https://autodesk.com")]
+    cases = [(0, "Quillfern GmbH", ""), (1, "Somebody", "https://www.quillfern.at/x"), (2, "Nordlicht AG", "https://nordlicht.example"), (3, "Quilfern", ""), (4, "GmbH", ""), (5, "Loom Works", "https://loom.example/about")]
     got = {r.cand_idx: r for r in J.match(spark.createDataFrame(cases, "cand_idx long, name string, url string"), known).collect()}
-    assert [got[i].matched_company if got[i].is_duplicate else None for i in range(6)] == ["Makersite", "Makersite", None, "Makersite", None, "Autodesk"]
-    assert got[1].reason == "gleiche Domain (makersite.io)" and got[3].score == SequenceMatcher(None, "makersitte", "makersite").ratio() and got[4].reason == "leerer Firmenname"
+    assert [got[i].matched_company if got[i].is_duplicate else None for i in range(6)] == ["Quillfern", "Quillfern", None, "Quillfern", None, "Ostrava Loom"]
+    assert got[1].reason == "gleiche Domain (quillfern.at)" and got[3].score == SequenceMatcher(None, "quilfern", "quillfern").ratio() and got[4].reason == "leerer Firmenname"
 
 
 def loop(cases):
@@ -163,38 +163,40 @@ def batch_file(tmp_path, companies):
     return str(path)
 
 
-TSET = {"company": "Tset", "confidence": 0.8, "sources": ["https://s.one", ""], "company_row": {"url": "https://tset.com", "location": "Wien", "stage": "Series A", "competitor_tier": "Tier 1 - Direkt", "beachhead": "Machinery", "key_categories": "Supply Chain & Quality", "odd": "x"}, "products": [{"product_name": "Tset Platform", "sub_category": "Cost Engineering & Value Analysis", "usp": "N/A (x)"}, {"usp": "nameless"}]}
-MAKER = {"company": "Makersite", "confidence": 0.9, "company_row": {"stage": "Series B", "location": "DARF NICHT LANDEN"}, "products": [{"product_name": "makersite platform "}, {"product_name": "New One", "confidence": "0.1"}, {"product_name": "New One"}, {"product_name": "new one"}]}
+NEWCOMER = {"company": "Halvorsen Rig", "confidence": 0.72, "sources": ["https://a.example/1", ""], "company_row": {"url": "https://halvorsen-rig.example", "location": "Bergen", "stage": "Seed", "competitor_tier": "tier 2 x", "beachhead": "Medtech", "key_categories": "Manufacturing & Factory", "hobby": "x"}, "products": [{"product_name": "Rig One", "sub_category": "CAM & CNC", "usp": "n/a"}, {"usp": "no name"}]}
+KNOWN = {"company": "Quillfern", "confidence": 0.66, "company_row": {"stage": "Series C", "location": "Linz"}, "products": [{"product_name": "QUILLFERN bench "}, {"product_name": "Bench Two", "confidence": "0.2"}, {"product_name": "Bench Two"}, {"product_name": "BENCH TWO"}]}
+UNSURE = {"company": "Pale Lantern", "confidence": 0.3, "company_row": {"url": "https://lantern.example"}}
 
 
 def test_ingest(spark, tmp_path, master):
     store = S.VersionStore(spark, str(tmp_path / "db"))
-    assert store.write(master, "2.9") == "2.9"
-    path = batch_file(tmp_path, [TSET, MAKER, {"company": "Wackelkandidat GmbH", "confidence": 0.1, "company_row": {"url": "https://wackel.example"}}])
+    assert store.write(master, "4.9") == "4.9"
+    path = batch_file(tmp_path, [KNOWN, UNSURE, NEWCOMER])
     out = ingest(spark, store, path, today=DAY, out_dir=str(tmp_path / "out"), stamp="s1")
-    assert (out.code, out.version, store.latest()) == (0, "2.10", "2.10")
+    assert (out.code, out.version, store.latest()) == (0, "4.10", "4.10")
     rows = {r.row_idx: r for r in store.read().collect()}
-    assert len(rows) == 7 and rows[0].stage == "Series B" and rows[0].location == "Stuttgart" and rows[0].last_update == DAY
-    new = rows[4]
-    assert (new.company, new.company_id, new.competitor_tier, new.key_categories) == ("Tset", "4", VOC.tiers[0], "7. Supply Chain & Operations")
-    assert (rows[5].product_name, rows[5].usp, rows[5].company_id) == ("Tset Platform", None, "4") and (rows[6].product_name, rows[6].company_id, rows[6].row_kind) == ("New One", "1.0", "Product")
+    assert len(rows) == 7 and rows[1].stage == "Series C" and rows[1].location == "Graz" and rows[1].last_update == DAY
+    assert (rows[4].product_name, rows[4].company_id, rows[4].row_kind) == ("Bench Two", "7.0", "Product")
+    assert (rows[5].company, rows[5].company_id, rows[5].competitor_tier, rows[5].key_categories) == ("Halvorsen Rig", "13", VOC.tiers[1], "3. Manufacturing & Production (CAM/MES)")
+    assert (rows[6].product_name, rows[6].usp, rows[6].company_id) == ("Rig One", None, "13")
     skips = {(r.who, r.reason) for r in out.plan.skipped.collect()}
-    assert skips == {("Makersite", "location (bereits gefuellt)"), ("Makersite", "Produkt 'makersite platform' existiert"), ("Makersite", "Produkt 'New One' (Confidence 0.10)"), ("Makersite", "Produkt 'new one' existiert"), ("Wackelkandidat GmbH", "Confidence 0.10 unter Schwelle")}
-    assert (tmp_path / "out/run_s1/report.md").exists() and S.runs(spark, str(tmp_path / "out")).first().run == "run_s1" and "odd" in S.run_report(spark, str(tmp_path / "out"), "run_s1")
+    assert skips == {("Quillfern", "location (bereits gefuellt)"), ("Quillfern", "Produkt 'QUILLFERN bench' existiert"), ("Quillfern", "Produkt 'Bench Two' (Confidence 0.20)"), ("Quillfern", "Produkt 'BENCH TWO' existiert"), ("Pale Lantern", "Confidence 0.30 unter Schwelle")}
+    assert out.plan.summary().first().asDict() == {"new_rows": 3, "updated_rows": 1, "filled_fields": 3, "skipped": 5}
+    assert (tmp_path / "out/run_s1/report.md").exists() and S.runs(spark, str(tmp_path / "out")).first().run == "run_s1" and "hobby" in S.run_report(spark, str(tmp_path / "out"), "run_s1")
     assert S.run_report(spark, str(tmp_path / "out"), "../x") is None
     assert json.loads((tmp_path / "out/run_s1/plan.json").read_text())["updated_rows"] == 1
     again = ingest(spark, store, path, today=DAY, dry_run=True)
-    assert again.code == 0 and store.latest() == "2.10" and again.plan.filled.count() == 0 and again.plan.new_rows.count() == 0
+    assert again.code == 0 and store.latest() == "4.10" and again.plan.filled.count() == 0 and again.plan.new_rows.count() == 0
 
 
 def test_batches_that_break_the_contract(spark, tmp_path, master):
     store = S.VersionStore(spark, str(tmp_path / "db"))
     store.write(master)
-    for content in ("{not json", '{"companies": []}', '{"companies": [{"company": " "}]}'):
+    for content in ("[1, 2", '{"run": {"a": "b"}}', '{"companies": []}', '{"companies": [{"confidence": 1}]}'):
         (tmp_path / "bad.json").write_text(content)
         with pytest.raises(IngestError):
             ingest(spark, store, str(tmp_path / "bad.json"), today=DAY)
-    bad = ingest(spark, store, batch_file(tmp_path, [{**TSET, "company_row": {"url": "no address"}}]), today=DAY)
+    bad = ingest(spark, store, batch_file(tmp_path, [{**NEWCOMER, "company_row": {"url": "see brochure"}}]), today=DAY)
     assert bad.code == 2 and "url_not_a_url" in bad.report
     with pytest.raises(Exception):
         store.write(master, "1.0")
@@ -204,8 +206,8 @@ def test_later_entry_wins_unless_folded(spark, master):
     records = spark.createDataFrame([(0, 0, 0.9, "Series B", None), (1, 0, 0.9, None, "12")], "entry_idx int, record_pos int, confidence double, stage string, employees string")
     from kelvane.config import FIELDS
 
-    records = records.select("entry_idx", "record_pos", "confidence", F.lit("").alias("source"), *[F.lit("Makersite").alias(f) if f == "company" else F.col(f) if f in ("stage", "employees") else F.lit(None).cast("string").alias(f) for f in FIELDS])
-    entries = spark.createDataFrame([(0, "Makersite", 0.9, []), (1, "Makersite", 0.9, [])], "entry_idx int, company string, confidence double, sources array<string>")
+    records = records.select("entry_idx", "record_pos", "confidence", F.lit("").alias("source"), *[F.lit("Quillfern").alias(f) if f == "company" else F.col(f) if f in ("stage", "employees") else F.lit(None).cast("string").alias(f) for f in FIELDS])
+    entries = spark.createDataFrame([(0, "Quillfern", 0.9, []), (1, "Quillfern", 0.9, [])], "entry_idx int, company string, confidence double, sources array<string>")
     up = M.plan(master, entries, records, today=DAY).updates.collect()
     assert [(r.stage, r.employees) for r in up] == [(None, "12")]
     up = M.plan(master, entries, records, today=DAY, fold=True).updates.collect()
@@ -215,17 +217,17 @@ def test_later_entry_wins_unless_folded(spark, master):
 def test_edits(spark, tmp_path, master):
     store = S.VersionStore(spark, str(tmp_path / "db"))
     version = store.write(master)
-    form = master.where("row_idx in (0, 1)").withColumn("location", F.lit("Berlin")).withColumn("url", F.when(F.col("row_idx") == 0, "").otherwise(F.col("url"))).withColumn("row_idx", F.when(F.col("row_idx") == 1, 77).otherwise(F.col("row_idx")))
+    form = master.where("row_idx in (0, 1)").withColumn("location", F.lit("Wels")).withColumn("url", F.when(F.col("row_idx") == 1, "").otherwise(F.col("url"))).withColumn("row_idx", F.when(F.col("row_idx") == 0, 77).otherwise(F.col("row_idx")))
     basket = E.stage(master, form)
-    assert sorted((r.field, r.new_value) for r in basket.collect()) == [("location", "Berlin"), ("url", "")]
-    assert sorted((r.field, r.old_value, r.new_value) for r in E.differences(master, basket).collect()) == [("location", "Stuttgart", "Berlin"), ("url", MASTER_ROWS[0]["url"], "")]
-    assert E.unstage(basket, 0, "url").count() == 1 and E.staged_count(basket).first()[0] == 2
+    assert sorted((r.field, r.new_value) for r in basket.collect()) == [("location", "Wels"), ("url", "")]
+    assert sorted((r.field, r.old_value, r.new_value) for r in E.differences(master, basket).collect()) == [("location", "Graz", "Wels"), ("url", MASTER_ROWS[1]["url"], "")]
+    assert E.unstage(basket, 1, "url").count() == 1 and E.staged_count(basket).first()[0] == 2
     path = str(tmp_path / "basket")
     assert S.load_basket(spark, path).count() == 0
     S.save_basket(basket, path, version)
     new = apply_basket(store, S.load_basket(spark, path), today=DAY)
-    row = store.read(new).where("row_idx = 0").first()
-    assert (row.location, row.url, row.last_update, row.competitor_tier) == ("Berlin", None, DAY, T1)
+    row = store.read(new).where("row_idx = 1").first()
+    assert (row.location, row.url, row.last_update, row.competitor_tier) == ("Wels", None, DAY, "tier 1 nah")
     with pytest.raises(ConflictError):
         apply_basket(store, S.load_basket(spark, path), today=DAY)
 
@@ -244,7 +246,7 @@ def test_versions_jobs_and_streams(spark, tmp_path, master):
     store = S.VersionStore(spark, str(tmp_path / "db"))
     store.write(master)
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "b.json").write_text(json.dumps({"companies": [TSET]}))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"companies": [NEWCOMER]}))
     seen = []
     watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), today=DAY, on_outcome=lambda p, o: seen.append(o.version)).awaitTermination()
     assert seen == ["1.1"] and store.read().count() == 6
