@@ -39,6 +39,7 @@ COLUMNS: tuple[tuple[str, str], ...] = (
     ("beachhead", "Beachhead_Relevanz"),
 )
 FIELDS = tuple(f for f, _ in COLUMNS)
+# Fixed values, also in contract order: kinds, fields of an entity, separators of multi-valued fields, the sheet and thresholds.
 COMPANY_KIND, PRODUCT_KIND = "Company information", "Product"
 COMPANY_FIELDS = ("key_categories", "founding_year", "stage", "founding_type", "location", "employees", "revenue")
 VOCABULARY_FIELDS = ("key_categories", "sub_category", "competitor_tier", "beachhead")
@@ -55,6 +56,10 @@ class IngestError(ValueError):
     """A batch breaks its contract."""
 
 
+class BalanceError(IngestError):
+    """A written version does not have the rows that it should."""
+
+
 class ConflictError(RuntimeError):
     """Staged edits belong to another version."""
 

@@ -130,3 +130,11 @@ def whole_number(c: Column) -> Column:
 
 def date_prefix(c: Column) -> Column:
     return F.substring(as_text(c), 1, 10)
+
+
+def escape_html(c: Column) -> Column:
+    """Text for a page: null is empty, and the five signs of markup are entities."""
+    out = F.replace(as_text(c), F.lit("&"), F.lit("&amp;"))
+    for sign, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out

@@ -67,3 +67,12 @@ def lookup(df: DataFrame, name: str, model: RowModel = MASTER) -> DataFrame:
     """All rows of the first block of exactly this name, header first."""
     first = B.first_rows(df, model).where(F.col("b_company") == name).orderBy("first_idx").limit(1).select("block_key")
     return B.with_blocks(df, model).join(first, "block_key").orderBy(F.desc("is_header"), model.row_idx)
+
+
+def render(df: DataFrame, name: str = "", model: RowModel = MASTER) -> str:
+    """Key figures, tiers and fill rates as text; a row per tier and field reaches the driver."""
+    k = kpis(df, model).first()
+    lines = [f"{'table':16s}{name}", f"{'rows':16s}{k['rows']}", f"{'entities':16s}{k['blocks']}", f"{'detail rows':16s}{k['detail_rows']}"]
+    lines += [f"  {r['tier']:24s}{r['n']}" for r in tier_histogram(df, model.tier).collect()]
+    lines += [f"  {r['field']:20s}{'-' if r['pct'] is None else format(r['pct'], '5.1f')} %" for r in fill_rates(df).collect()]
+    return "\n".join(lines)

@@ -16,6 +16,7 @@ from kelvane.operators import merge as M
 from kelvane.operators import quality as Q
 from kelvane.sources import batch as S
 from kelvane.sources.store import VersionStore, write_csv, write_text
+from kelvane.sources.workbook import WorkbookStore
 
 
 @dataclass
@@ -28,7 +29,7 @@ class Outcome:
     plan: M.MergePlan | None = None
 
 
-def ingest(spark: SparkSession, store: VersionStore, path: str, *, out_dir: str | None = None, stamp: str = "", today: str, vocabulary: Vocabulary | None = None, version: str | None = None, min_confidence: float = MIN_CONFIDENCE, dry_run: bool = False, fold: bool = False) -> Outcome:
+def ingest(spark: SparkSession, store: VersionStore | WorkbookStore, path: str, *, out_dir: str | None = None, stamp: str = "", today: str, vocabulary: Vocabulary | None = None, version: str | None = None, min_confidence: float = MIN_CONFIDENCE, dry_run: bool = False, fold: bool = False) -> Outcome:
     vocabulary = vocabulary or Vocabulary.load()
     master = store.read()
     batch = S.read_batch(spark, path, vocabulary, today=today)
@@ -42,7 +43,10 @@ def ingest(spark: SparkSession, store: VersionStore, path: str, *, out_dir: str
     n_new, n_up = plan.new_rows.count(), plan.updates.count()
     if dry_run or not (n_new or n_up):
         return Outcome(0, plan=plan)
-    written = store.write(M.apply_plan(master, plan), version, expected=master.count() + n_new)
+    if isinstance(store, WorkbookStore):
+        written = store.write_plan(plan.updates, plan.new_rows, version)
+    else:
+        written = store.write(M.apply_plan(master, plan), version, expected=master.count() + n_new)
     report = _report(plan, batch, path, written, n_new)
     if out_dir:
         run = f"{out_dir}/run_{stamp}"
@@ -55,12 +59,14 @@ def ingest(spark: SparkSession, store: VersionStore, path: str, *, out_dir: str
 
 
 def _report(plan: M.MergePlan, batch: S.Batch, path: str, version: str, n_new: int, limit: int = 50) -> str:
-    matches = plan.matches.orderBy("entry_idx").select("company", "is_duplicate", "matched_company", "reason")
-    enriched = [f"  - {r[0]} -> {r[2]} ({r[3]})" for r in matches.where("is_duplicate").limit(limit).collect()]
-    new = [r[0] for r in plan.new_rows.where("record_pos = 0").orderBy("append_seq").select("company").limit(limit).collect()]
+    """Counts of everything, and the first ``limit`` lines of each list."""
+    matches = plan.matches.where("is_duplicate").orderBy("entry_idx").select("company", "matched_company", "reason")
+    enriched = [f"  - {r[0]} -> {r[1]} ({r[2]})" for r in matches.limit(limit).collect()]
+    created = plan.new_rows.where("record_pos = 0")
+    new = [r[0] for r in created.orderBy("append_seq").select("company").limit(limit).collect()]
     skipped = [f"  - {r[0]}: {r[1]}" for r in plan.skipped.orderBy("entry_idx", "seq").select("who", "reason").limit(limit).collect()]
     notes = [f"  - {r[0]}: {r[1]}" for r in batch.notes.orderBy("entry_idx", "seq").select("company", "note").limit(limit).collect()]
-    return "\n".join(["# Ingest report", "", f"- batch: `{path}`", f"- version: `{version}` (+{n_new} rows)", f"- new entities: {', '.join(new) or 'none'}", f"- enriched: {len(enriched)}", *enriched, f"- skipped: {plan.skipped.count()}", *skipped, f"- notes: {batch.notes.count()}", *notes])
+    return "\n".join(["# Ingest report", "", f"- batch: `{path}`", f"- version: `{version}` (+{n_new} rows)", f"- new entities: {created.count()}", *[f"  - {n}" for n in new], f"- enriched: {matches.count()}", *enriched, f"- skipped: {plan.skipped.count()}", *skipped, f"- notes: {batch.notes.count()}", *notes])
 
 
 def apply_basket(store: VersionStore, basket, *, today: str) -> str:
@@ -72,8 +78,8 @@ def apply_basket(store: VersionStore, basket, *, today: str) -> str:
     return store.write(E.apply_edits(master, basket.drop("version"), today=today), expected=master.count())
 
 
-def health(spark: SparkSession, store: VersionStore) -> dict:
+def health(spark: SparkSession, store: VersionStore | None = None) -> dict:
     """What an operator wants to know first: vocabulary, versions, optional libraries."""
     import importlib.util
 
-    return {"vocabulary": Path(DEFAULT).exists(), "latest": store.latest(), "spark": spark.version, **{m: importlib.util.find_spec(m) is not None for m in ("yaml", "pandas", "pyarrow")}}
+    return {"vocabulary": Path(DEFAULT).exists(), **({"latest": store.latest()} if store else {}), "spark": spark.version, **{m: importlib.util.find_spec(m) is not None for m in ("yaml", "pandas", "pyarrow")}}

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvane.config import IngestError
+from kelvane.config import BalanceError
 
 STRICT_VERSION, LOOSE_VERSION = r"_v(\d+)\.(\d+)\.xlsx$", r"_v\d+(\.\d+)?[A-Za-z0-9_-]*\.xlsx$"
 
@@ -81,11 +81,11 @@ class VersionStore:
         return self.spark.read.parquet(self.path(version))
 
     def write(self, df: DataFrame, version: str | None = None, *, expected: int | None = None) -> str:
-        """Writes a new version and never replaces one. With ``expected`` the written rows are counted, else IngestError."""
+        """Writes a new version and never replaces one. With ``expected`` the written rows are counted; BalanceError if they are not as many."""
         version = version or self.next_version()
         df.write.mode("errorifexists").parquet(self.path(version))
         if expected is not None and (n := self.read(version).count()) != expected:
-            raise IngestError(f"{n} rows instead of {expected} in version {version}")
+            raise BalanceError(f"{n} rows instead of {expected} in version {version}")
         return version
 
 

@@ -250,3 +250,39 @@ def test_versions_jobs_and_streams(spark, tmp_path, master):
     seen = []
     watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), today=DAY, on_outcome=lambda p, o: seen.append(o.version)).awaitTermination()
     assert seen == ["1.1"] and store.read().count() == 6
+
+
+def test_workbook_versions(spark, tmp_path, capsys):
+    """A new file has the changed cells, what lies around them, and reads back as the merged table does."""
+    import zipfile
+
+    from kelvane.__main__ import main
+    from kelvane.sources.workbook import column_name, latest_workbook, rewrite_sheet
+
+    source, out = tmp_path / "Stand_v1.9.xlsx", tmp_path / "out"
+    out.mkdir()
+    write_xlsx(source, MASTER_ROWS)
+    before = source.read_bytes()
+    path = batch_file(tmp_path, [KNOWN, NEWCOMER])
+    args = ["ingest", path, "--db", str(source), "--out-dir", str(out)]
+    assert main([*args, "--dry-run"], spark) == 0 and list(out.iterdir()) == []
+    assert main(args, spark) == 0 and source.read_bytes() == before
+    new = out / "Stand_v1.10.xlsx"
+    rows = {r.row_idx: r for r in read_master(spark, str(new)).collect()}
+    assert sorted(rows) == list(range(7)) and rows[1].stage == "Series C" and rows[1].location == "Graz" and rows[0].url == MASTER_ROWS[0]["url"]
+    assert [rows[i].product_name for i in (4, 5, 6)] == ["Bench Two", None, "Rig One"] and rows[5].company_id == "13" and not rows[5].company_id_is_float
+    assert set(zipfile.ZipFile(new).namelist()) == set(zipfile.ZipFile(source).namelist())
+    assert latest_workbook(spark, [str(tmp_path / "none"), str(tmp_path), str(out)]) == str(new)
+    assert latest_workbook(spark, [str(tmp_path / "none")]) is None
+    (tmp_path / "bad.json").write_text("[")
+    assert main(["ingest", str(tmp_path / "bad.json"), "--db", str(source), "--out-dir", str(out)], spark) == 2
+    capsys.readouterr()
+    assert main(["validate", "--db", str(new)], spark) == 1 and main(["stats", "--db", str(new)], spark) == 0 and main(["doctor", str(out)], spark) == 0
+    text = capsys.readouterr().out
+    assert "encoding_broken" in text and "Tier 3 - Beobachten" in text and "Stand_v1.10.xlsx" in text
+    assert [column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    xml = '<w><dimension ref="A1"/><cols/><sheetData><row r="1" spans="1:2"><c r="A1" s="3"/><c r="B1" t="s"><v>0</v></c></row><row r="2" ht="9"/><row r="5"><c r="A5"><v>1</v></c></row></sheetData><end/></w>'
+    got = rewrite_sheet(xml, {0: {0: "a<b", 2: None}}, [{1: "p"}, {1: "7"}, {0: "q"}, {0: "2"}], [0], 1, {0})
+    cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+    assert got == ('<w><cols/><sheetData><row r="1"><c r="A1" s="3" t="inlineStr"><is><t xml:space="preserve">a&lt;b</t></is></c><c r="B1" t="s"><v>0</v></c><c r="C1"/></row><row r="2" ht="9"/>'
+        f'<row r="3">{cell("B3", "p")}</row><row r="4">{cell("B4", "7")}</row><row r="5">{cell("A5", "q")}</row><row r="6"><c r="A6"><v>2</v></c></row></sheetData><end/></w>')

@@ -90,3 +90,7 @@ def test_bump(spark, name, version, want):
 
 def test_mojibake(spark):
     check(spark, X.has_mojibake, [("Ã¶", True), ("�", True), ("â€\u0099", True), ("â€™", False), ("ok", False), (None, False)], "boolean")
+
+
+def test_escape_html(spark):
+    check(spark, X.escape_html, [("a < b & \"c\"", "a &lt; b &amp; &quot;c&quot;"), ("it's > 1 &amp;", "it&#x27;s &gt; 1 &amp;amp;"), (None, ""), ("", "")])
