@@ -349,9 +349,15 @@ def q_row_balance(spark, d):
     return one(c, "before").crossJoin(one(new, "added")).crossJoin(one(after, "after"))
 
 
+def _all() -> None:
+    from kelvane.plans import catalog_master  # noqa: F401  it registers its queries here
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)
