@@ -153,7 +153,7 @@ def strip_repeats(docs: DataFrame, *, window: int = WINDOW, seed_words: int = SE
     windows = scratch.keep(rows.join(by_doc, ["d", "h"]).select("text", "runs").mapInArrow(_windows(window), "seed long, span long, n int, i int, w1 long, w2 long"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     part = windows.join(twice, ["w1", "w2"]).groupBy("seed", "span", "n").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("part_mask"))
-    mask = spans.join(part, ["seed", "span", "n"], "left").select("seed", "span", "n", F.when(F.col("c") > 1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("part_mask")).alias("mask")).where("mask is not null")
+    mask = scratch.keep(spans.join(part, ["seed", "span", "n"], "left").select("seed", "span", "n", F.when(F.col("c") > 1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("part_mask")).alias("mask")).where("mask is not null"))  # written, so that AQE can split a common span below
     marks = found.join(mask, ["seed", "span", "n"]).groupBy("d", "h").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))  # at most a document's own runs
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     return rows.join(marks, ["d", "h"], "left").select(F.expr(f"nullif(d, {-(1 << 63) + 1} - 1)").alias("doc_id"), "text", "marks").mapInArrow(_strip(window, texts), kinds)
