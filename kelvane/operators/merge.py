@@ -57,8 +57,8 @@ def source_rows(entries: DataFrame, today: str) -> DataFrame:
 
 def last_writer(updates: DataFrame, key: str = "row_idx", order: str = "entry_idx") -> DataFrame:
     """Of the rows of one key the one of the highest order."""
-    latest = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-    return updates.withColumn("__n", latest).where("__n = 1").drop("__n")
+    row = F.struct(*[F.col(f"`{c}`") for c in updates.columns])
+    return updates.groupBy(F.col(key).alias("__k")).agg(F.max_by(row, F.struct(order)).alias("__r")).select("__r.*")  # partial, and a null order is the lowest
 
 
 def assign_ids(accepted: DataFrame, first_id: Column, order: str = "entry_idx") -> DataFrame:
