@@ -6,13 +6,16 @@ Rows carry an explicit ``row_idx``; nothing depends on the physical order. Group
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelvane.config import COMPANY_FIELDS, MASTER, RowModel
 from kelvane.functions import text as X
 
 
+def _is_head(model: RowModel) -> Column:
+    return F.coalesce(F.col(model.kind) == model.header_kind, F.lit(False))
+
+
 def block_key(model: RowModel = MASTER) -> Column:
     """id:<whole number>, id:<text> or name:<lower-case name>."""
     raw = F.col(model.entity_id).cast("string")
@@ -21,10 +24,15 @@ def block_key(model: RowModel = MASTER) -> Column:
 
 
 def with_blocks(df: DataFrame, model: RowModel = MASTER) -> DataFrame:
-    """Adds block_key and is_header: the first header-kind row of each block; later ones count as details."""
-    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", F.coalesce(F.col(model.kind) == model.header_kind, F.lit(False)))
-    first = F.min(F.when(F.col("__h"), F.col(model.row_idx))).over(W.partitionBy("block_key"))
-    return keyed.withColumn("is_header", F.coalesce(F.col("__h") & (F.col(model.row_idx) == first), F.lit(False))).drop("__h")
+    """Adds block_key and is_header: the first header-kind row of each block; later ones count as details.
+
+    The first header rows are aggregated and joined back by block and row, so that the rows of a large block are not one task's.
+    """
+    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", _is_head(model))
+    firsts = keyed.where("__h").groupBy(F.col("block_key").alias("__b")).agg(F.min(model.row_idx).alias("__first"))
+    at_first = (F.col("block_key") == F.col("__b")) & (F.col(model.row_idx) == F.col("__first"))
+    joined = keyed.join(firsts, at_first, "left")
+    return joined.withColumn("is_header", F.col("__h") & F.col("__first").isNotNull()).drop("__h", "__b", "__first")
 
 
 def blocks(df: DataFrame, model: RowModel = MASTER, carry: list[str] | None = None) -> DataFrame:
@@ -43,28 +51,32 @@ def blocks(df: DataFrame, model: RowModel = MASTER, carry: list[str] | None = No
     return out.withColumn("company_id", F.col("__f.i")).withColumn("company", F.col("__f.n")).drop("__f")
 
 
+def _first_name(model: RowModel) -> Column:
+    return F.min_by(X.strip(X.as_text(F.col(model.entity))), model.row_idx)
+
+
 def first_rows(df: DataFrame, model: RowModel = MASTER) -> DataFrame:
     """block_key, first_idx, b_company, b_id: a block is named by its first row."""
     keyed = df.withColumn("block_key", block_key(model))
-    return keyed.groupBy("block_key").agg(F.min(model.row_idx).alias("first_idx"), F.min_by(X.strip(X.as_text(F.col(model.entity))), model.row_idx).alias("b_company"), F.min_by(F.col(model.entity_id), model.row_idx).alias("b_id"))
+    return keyed.groupBy("block_key").agg(F.min(model.row_idx).alias("first_idx"), _first_name(model).alias("b_company"), F.min_by(F.col(model.entity_id), model.row_idx).alias("b_id"))
 
 
-def block_stats(df: DataFrame, model: RowModel = MASTER) -> DataFrame:
-    """block_key, first_idx, has_header, n_details, n_named_details; partial aggregation only."""
-    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", F.coalesce(F.col(model.kind) == model.header_kind, F.lit(False)))
+def block_stats(df: DataFrame, model: RowModel = MASTER, named: bool = False) -> DataFrame:
+    """block_key, first_idx, b_company (if ``named``: the first row's name), has_header, n_details, n_named_details; partial aggregation only."""
+    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", _is_head(model))
     return keyed.groupBy("block_key").agg(
-        F.min(model.row_idx).alias("first_idx"), F.max("__h").alias("has_header"), (F.count("*") - F.max("__h").cast("long")).alias("n_details"),
+        F.min(model.row_idx).alias("first_idx"), *([_first_name(model).alias("b_company")] if named else []), F.max("__h").alias("has_header"), (F.count("*") - F.max("__h").cast("long")).alias("n_details"),
         F.count_if(~F.col("__h") & ~X.is_blank(F.col(model.detail))).alias("n_named_details"),
     )
 
 
 def representative(df: DataFrame, model: RowModel = MASTER, carry: list[str] | None = None) -> DataFrame:
-    """One row per block: its header, else its first detail, with first_idx and n_details."""
+    """One row per block: its header, else its first detail, with first_idx, b_company (the first row's name) and n_details."""
     columns = [c for c in (carry or df.columns)]
-    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", F.coalesce(F.col(model.kind) == model.header_kind, F.lit(False)))
+    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", _is_head(model))
     rank = F.struct(F.when(F.col("__h"), 0).otherwise(1), F.col(model.row_idx))
-    out = keyed.groupBy("block_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), rank).alias("r"), F.min(model.row_idx).alias("first_idx"), (F.count("*") - F.max("__h").cast("long")).alias("n_details"))
-    return out.select("block_key", "first_idx", "n_details", "r.*")
+    out = keyed.groupBy("block_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), rank).alias("r"), F.min(model.row_idx).alias("first_idx"), _first_name(model).alias("b_company"), (F.count("*") - F.max("__h").cast("long")).alias("n_details"))
+    return out.select("block_key", "first_idx", "b_company", "n_details", "r.*")
 
 
 def next_id(df: DataFrame, model: RowModel = MASTER) -> DataFrame:
@@ -79,14 +91,14 @@ def missing_fields(df: DataFrame, fields: list[str], model: RowModel = MASTER, c
     any other field is missing if no row of the block fills it.
     """
     filled = lambda f: ~X.is_blank(F.col(f), zero_is_empty)
-    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", F.coalesce(F.col(model.kind) == model.header_kind, F.lit(False)))
-    first = F.min(F.when(F.col("__h"), F.col(model.row_idx))).over(W.partitionBy("block_key"))
-    keyed = keyed.withColumn("__detail", ~(F.col("__h") & (F.col(model.row_idx) == first)))
+    keyed = df.withColumn("block_key", block_key(model)).withColumn("__h", _is_head(model))
     rank = F.struct(F.when(F.col("__h"), 0).otherwise(1), F.col(model.row_idx))
     has = []
     for i, f in enumerate(fields):
         if f == model.detail:
-            has.append(F.max(F.col("__detail") & filled(f)).alias(f"f{i}"))
+            # The first header row is none of the details, all later ones are.
+            named, first = F.count_if(filled(f)), F.min_by(filled(f).cast("int"), F.when(F.col("__h"), F.col(model.row_idx)))
+            has.append((named > F.coalesce(first, F.lit(0))).alias(f"f{i}"))
         elif f in company_fields:
             has.append(F.min_by(filled(f), rank).alias(f"f{i}"))
         else:

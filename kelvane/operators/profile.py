@@ -45,14 +45,13 @@ def fill_bars(rates: DataFrame) -> DataFrame:
 
 def top_entities(df: DataFrame, n: int = 10, model: RowModel = MASTER) -> DataFrame:
     """(block_key, company, n_details) of the blocks with most detail rows; ties by first row."""
-    named = B.block_stats(df, model).join(B.first_rows(df, model).select("block_key", "b_company"), "block_key")
-    return named.orderBy(F.desc("n_details"), "first_idx").limit(n).select("block_key", F.col("b_company").alias("company"), "n_details")
+    return B.block_stats(df, model, named=True).orderBy(F.desc("n_details"), "first_idx").limit(n).select("block_key", F.col("b_company").alias("company"), "n_details")
 
 
 def search(df: DataFrame, q: str = "", tier: str = "", model: RowModel = MASTER) -> DataFrame:
     """Blocks whose name contains q in any case and whose representative row's tier begins with tier, by lower-case name."""
     shown = [c for c in (model.entity, model.tier, "beachhead", "last_update") if c in df.columns]
-    rows = B.representative(df.select(*df.columns), model, shown).join(B.first_rows(df, model).select("block_key", "b_company"), "block_key")
+    rows = B.representative(df, model, shown)
     if q:
         rows = rows.where(F.lower("b_company").contains(F.lower(F.lit(q))))
     if tier:
