@@ -6,8 +6,6 @@ next one. Spark broadcasts an index where its size allows; nothing is hinted.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,23 +47,29 @@ def name_index(known: DataFrame) -> DataFrame:
 SALTS = 32
 #: Characters that normalised names consist of.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 &+-"
+#: A mark takes four bits, so that a long has those of 16 characters.
+_LONGS = [_ALPHABET[at : at + 16] for at in range(0, len(_ALPHABET), 16)]
+
 
+def _letters(norm: str) -> Column:
+    """A set of marks of a column: of each character's first four occurrences one bit each; n is the length.
 
-def _letters(norm: Column) -> Column:
-    """A set of marks: of each character's first four occurrences one bit each, 16 characters to a long; ``more`` counts all others."""
-    count = [F.length(norm) - F.length(F.translate(norm, c, "")) for c in _ALPHABET]
-    longs = []
-    for at in range(0, len(_ALPHABET), 16):
-        marks = [F.shiftleft(F.element_at(F.array(*[F.lit(2**n - 1).cast("long") for n in range(5)]), F.least(n, F.lit(4)) + 1), 4 * i) for i, n in enumerate(count[at : at + 16])]
-        longs.append(reduce(Column.bitwiseOR, marks).alias(f"l{at // 16}"))
-    few = reduce(Column.__add__, [F.least(n, F.lit(4)) for n in count])
-    return F.struct(*longs, (F.length(norm) - few).alias("more"), F.length(norm).alias("n"))
+    One SQL text, since thousands of Column objects take seconds to build.
+    """
+    count = "length({0}) - length(translate({0}, '{1}', ''))"
+    mark = f"shiftleft(shiftleft(1L, least({count}, 4)) - 1L, {{2}})"
+    longs = [" | ".join(mark.format(norm, c, 4 * i) for i, c in enumerate(part)) for part in _LONGS]
+    return F.expr(f"struct({', '.join(f'{v} AS l{i}' for i, v in enumerate(longs))}, length({norm}) AS n)")
 
 
-def shared_bound(a: Column, b: Column) -> Column:
-    """What the ratio of two names cannot exceed, by their marks: both have to have a matched character."""
-    common = reduce(Column.__add__, [F.bit_count(a[f"l{i}"].bitwiseAND(b[f"l{i}"])) for i in range(-(-len(_ALPHABET) // 16))]) + F.least(a["more"], b["more"])
-    return 2 * common / F.greatest(a["n"] + b["n"], F.lit(1))
+def shared_bound(a: str, b: str) -> Column:
+    """What the ratio of two names cannot exceed, by their marks: both have to have a matched character.
+
+    Characters without a mark, from the fifth occurrence on or of another alphabet, may all match.
+    """
+    shared = " + ".join(f"bit_count({a}.l{i} & {b}.l{i})" for i in range(len(_LONGS)))
+    more = ["{0}.n - {1}".format(x, " - ".join(f"bit_count({x}.l{i})" for i in range(len(_LONGS)))) for x in (a, b)]
+    return F.expr(f"2 * ({shared} + least({more[0]}, {more[1]})) / greatest({a}.n + {b}.n, 1)")
 
 
 def fuzzy(open_rows: DataFrame, names: DataFrame, key: str, threshold: float = FUZZY_THRESHOLD, exact_best: bool = False) -> DataFrame:
@@ -74,9 +78,9 @@ def fuzzy(open_rows: DataFrame, names: DataFrame, key: str, threshold: float = F
     Pairs are of distinct normalised names on both sides. Each name's pair of the fewest edits is scored first; of its others only those are scored whose bound
     reaches that score, which no better pair can miss. Without ``exact_best`` pairs whose bound is below the threshold are left out as well.
     """
-    left = open_rows.select(F.col("norm").alias("c_norm")).distinct().select("c_norm", F.substring("c_norm", 1, 1).alias("ch"), F.pmod(F.xxhash64("c_norm"), F.lit(SALTS)).cast("int").alias("salt"), _letters(F.col("c_norm")).alias("c"))
-    right = names.select(F.col("norm").alias("k_norm"), "n_name", "n_pos", F.substring("norm", 1, 1).alias("ch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), _letters(F.col("norm")).alias("k"))
-    pairs = left.repartition(SALTS, "ch", "salt").join(right, ["ch", "salt"]).select("c_norm", "k_norm", "n_name", "n_pos", shared_bound(F.col("c"), F.col("k")).alias("bound")).where(F.col("bound") >= (0.0 if exact_best else threshold))
+    left = open_rows.select(F.col("norm").alias("c_norm")).distinct().select("c_norm", F.substring("c_norm", 1, 1).alias("ch"), F.pmod(F.xxhash64("c_norm"), F.lit(SALTS)).cast("int").alias("salt"), _letters("c_norm").alias("c"))
+    right = names.select(F.col("norm").alias("k_norm"), "n_name", "n_pos", F.substring("norm", 1, 1).alias("ch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), _letters("norm").alias("k"))
+    pairs = left.repartition(SALTS, "ch", "salt").join(right, ["ch", "salt"]).select("c_norm", "k_norm", "n_name", "n_pos", shared_bound("c", "k").alias("bound")).where(F.col("bound") >= (0.0 if exact_best else threshold))
     first = pairs.groupBy("c_norm").agg(F.min_by("k_norm", F.levenshtein("c_norm", "k_norm")).alias("k_norm"))
     reached = first.select(F.col("c_norm").alias("r_norm"), ratio(F.col("c_norm"), F.col("k_norm")).alias("reached"))
     wanted = pairs.join(reached, F.col("c_norm") == F.col("r_norm")).where(F.col("bound") >= F.col("reached") - 1e-9)
