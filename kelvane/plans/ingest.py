@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvane.config import MIN_CONFIDENCE
@@ -30,32 +30,43 @@ class Outcome:
 
 
 def ingest(spark: SparkSession, store: VersionStore | WorkbookStore, path: str, *, out_dir: str | None = None, stamp: str = "", today: str, vocabulary: Vocabulary | None = None, version: str | None = None, min_confidence: float = MIN_CONFIDENCE, dry_run: bool = False, fold: bool = False) -> Outcome:
-    vocabulary = vocabulary or Vocabulary.load()
-    master = store.read()
-    batch = S.read_batch(spark, path, vocabulary, today=today)
-    records = batch.records.cache()
-    checked = records.withColumn("row_idx", F.row_number().over(M.W.orderBy("entry_idx", "record_pos")).cast("long") - 1).withColumn("company_id_is_float", F.lit(False))
-    issues = Q.validate(checked, vocabulary, strict=True).cache()
-    if not Q.errors(issues).isEmpty():
-        return Outcome(2, report=Q.render(issues, Q.stats(checked)))
-    plan = M.plan(master, batch.entries, records, today=today, min_confidence=min_confidence, fold=fold)
-    plan.new_rows, plan.updates, plan.skipped, plan.filled = plan.new_rows.cache(), plan.updates.cache(), plan.skipped.cache(), plan.filled.cache()
-    n_new, n_up = plan.new_rows.count(), plan.updates.count()
-    if dry_run or not (n_new or n_up):
-        return Outcome(0, plan=plan)
-    if isinstance(store, WorkbookStore):
-        written = store.write_plan(plan.updates, plan.new_rows, version)
-    else:
-        written = store.write(M.apply_plan(master, plan), version, expected=master.count() + n_new)
-    report = _report(plan, batch, path, written, n_new)
-    if out_dir:
-        run = f"{out_dir}/run_{stamp}"
-        write_csv(plan.new_rows.drop("append_seq", "entry_idx", "record_pos"), f"{run}/new_rows.csv")
-        write_csv(M.source_rows(batch.entries, today).select("company", "source", "confidence", "date"), f"{run}/sources.csv")
-        write_text(spark, f"{run}/report.md", report)
-        first = lambda df, *cols: [list(r) for r in df.orderBy("entry_idx", "seq").select(*cols).limit(500).collect()]
-        write_text(spark, f"{run}/plan.json", json.dumps({"new_rows": n_new, "updated_rows": n_up, "filled_fields": first(plan.filled, "company", "product", "field"), "skipped": first(plan.skipped, "who", "reason")}, ensure_ascii=False, indent=2))
-    return Outcome(0, written, report, plan)
+    """Cached frames are released at the end; a plan in the outcome reads its inputs again when asked."""
+    held = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.cache())
+        return held[-1]
+
+    try:
+        vocabulary = vocabulary or Vocabulary.load()
+        master = store.read()
+        batch = S.read_batch(spark, path, vocabulary, today=today)
+        records = hold(batch.records)
+        checked = records.withColumn("row_idx", F.row_number().over(M.W.orderBy("entry_idx", "record_pos")).cast("long") - 1).withColumn("company_id_is_float", F.lit(False))
+        issues = hold(Q.validate(checked, vocabulary, strict=True))
+        if not Q.errors(issues).isEmpty():
+            return Outcome(2, report=Q.render(issues, Q.stats(checked)))
+        plan = M.plan(master, batch.entries, records, today=today, min_confidence=min_confidence, fold=fold)
+        plan.new_rows, plan.updates, plan.skipped, plan.filled = hold(plan.new_rows), hold(plan.updates), hold(plan.skipped), hold(plan.filled)
+        n_new, n_up = plan.new_rows.count(), plan.updates.count()
+        if dry_run or not (n_new or n_up):
+            return Outcome(0, plan=plan)
+        if isinstance(store, WorkbookStore):
+            written = store.write_plan(plan.updates, plan.new_rows, version)
+        else:
+            written = store.write(M.apply_plan(master, plan), version, expected=master.count() + n_new)
+        report = _report(plan, batch, path, written, n_new)
+        if out_dir:
+            run = f"{out_dir}/run_{stamp}"
+            write_csv(plan.new_rows.drop("append_seq", "entry_idx", "record_pos"), f"{run}/new_rows.csv")
+            write_csv(M.source_rows(batch.entries, today).select("company", "source", "confidence", "date"), f"{run}/sources.csv")
+            write_text(spark, f"{run}/report.md", report)
+            first = lambda df, *cols: [list(r) for r in df.orderBy("entry_idx", "seq").select(*cols).limit(500).collect()]
+            write_text(spark, f"{run}/plan.json", json.dumps({"new_rows": n_new, "updated_rows": n_up, "filled_fields": first(plan.filled, "company", "product", "field"), "skipped": first(plan.skipped, "who", "reason")}, ensure_ascii=False, indent=2))
+        return Outcome(0, written, report, plan)
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def _report(plan: M.MergePlan, batch: S.Batch, path: str, version: str, n_new: int, limit: int = 50) -> str:
