@@ -312,11 +312,11 @@ def shingle_sets(hashes: WordHashes, text: bytes | None, k: int) -> np.ndarray:
     return np.unique(Rolling(words).runs(at, at + min(k, len(words))))
 
 
-def wide_fingerprints(docs: DataFrame, k: int, longs: int, short: int, similarity: float, text: str) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, k: int, longs: int, similarity: float, text: str) -> DataFrame:
     """(d, h, node, size, w array<long>, prefix array<long>) of each row's set of k-word shingles.
 
-    node is a hash of the whole set and size its number of shingles; w is its SimHash of 64 bits a long. Of sets of at most ``short`` shingles prefix has
-    the least size - ceil(similarity * size) + 2; two sets of that similarity share one of all but the last of these.
+    node is a hash of the whole set and size its number of shingles; w is its SimHash of 64 bits a long. prefix has the least
+    size - ceil(similarity * size) + 2 shingles; two sets of that similarity share one of all but the last of these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def wide_fingerprints(docs: DataFrame, k: int, longs: int, short: int, similarit
                 grams = shingle_sets(hashes, t.as_py(), k)
                 n = size[row] = len(grams)
                 node[row] = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
-                prefix.append(grams[: prefix_length(n, similarity) + 1].view(np.int64) if 0 < n <= short else grams[:0].view(np.int64))
+                prefix.append(grams[: prefix_length(n, similarity) + 1 if n else 0].view(np.int64))
                 if n:
                     held.append(grams)
                     whose.append(row)
@@ -519,7 +519,7 @@ def verified_links(wanted: DataFrame, texts: DataFrame, scratch: Scratch, k: int
     """(src, dst): links that connect all nodes of a root that pairs of a Jaccard similarity of at least ``similarity`` connect.
 
     wanted: a written table (root, node, size, w, d, h); texts: (d, h, text). Roots of up to ``least`` shingles are verified in one task each. In larger ones all nodes
-    meet a few leaders first; those alike none of them meet every node in a grid of tasks of about ``least`` shingles.
+    meet a few leaders first; those outside the largest cluster that this connects meet every node in a grid of tasks of about ``least`` shingles.
     """
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = "src long, dst long"
@@ -542,9 +542,11 @@ def verified_links(wanted: DataFrame, texts: DataFrame, scratch: Scratch, k: int
     led = scratch.keep(with_text(leaders, "root", "node").withColumnsRenamed({"node": "leader", "text": "leader_text"}))
     near = scratch.keep(with_text(large, "root", "node").join(led, "root").select("node", "text", "leader", "leader_text").mapInArrow(_alike(k, similarity), kinds))
     out = out.unionByName(near)
-    met = near.select(F.col("src").alias("node")).unionByName(led.select(F.col("leader").alias("node"))).distinct()
-    # Leaders have met every node already.
-    rest = scratch.keep(large.join(met, "node", "left_anti"))
+    # What the leaders of a root connect falls into clusters. Pairs inside one are connected, and leaders have met every node already; any other pair may
+    # still be alike, also of two nodes that met different leaders. So all but one cluster, the largest, go on.
+    own = scratch.keep(large.join(components(near, scratch).withColumnRenamed("root", "star"), "node", "left").withColumn("star", F.coalesce("star", "node")))
+    most_of = own.groupBy("root", "star").agg(F.sum("size").alias("of")).groupBy("root").agg(F.max_by("star", F.struct("of", "star")).alias("star"))
+    rest = scratch.keep(own.join(most_of, ["root", "star"], "left_anti").drop("star").join(led.select(F.col("leader").alias("node")), "node", "left_anti"))
     if rest.isEmpty():
         return out
     parts = lambda c: F.greatest(F.lit(1), F.ceil(2 * F.col(c) / least)).cast("int")
@@ -561,17 +563,18 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables:
     """(d, h, component_d, root) per different row: the smallest d of the texts that links reach; root is equal within a component only.
 
     Texts are linked when the Jaccard similarity of their sets of k-word shingles is at least ``similarity``, verified on the sets. Candidates for it are:
-    of texts of which one has at most ``short`` shingles, all pairs that share a shingle of their prefixes, which no similar pair lacks; of longer ones, pairs of which
-    one table's 32 bits differ in at most ``budget``, which 20 tables miss for one pair in 700 at similarity 0.8. Both must also be within ``most_bits``, five
+    of texts of over ``short`` shingles, pairs of which one table's 32 bits differ in at most ``budget``, which 20 tables miss for one pair in 700 at similarity 0.8; for
+    these, and of shorter ones, all pairs that share a shingle of their prefixes, which no similar pair lacks. Both must also be within ``most_bits``, five
     standard deviations, on ``carried`` longs of the fingerprint. d is doc_id, the largest long for null; h is a hash of the text.
     """
     scratch, longs = Scratch(docs.sparkSession), tables // 2
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.col(f"`{text}`")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.xxhash64(own), F.lit(0)).alias("h"), own.alias("text"))
-    with_prefix = math.ceil(short / similarity)
-    rows = scratch.keep(wide_fingerprints(keyed, k, longs, with_prefix, similarity, "text"))
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct("d", "h")).alias("first"), F.first("size").alias("size"), F.first("w").alias("w"), F.first("prefix").alias("prefix")))
+    wide = scratch.keep(wide_fingerprints(keyed, k, longs, similarity, "text"))
+    rows = scratch.keep(wide.select("d", "h", "node"))
+    nodes = scratch.keep(wide.groupBy("node").agg(F.min(F.struct("d", "h")).alias("first"), F.first("size").alias("size"), F.first("w").alias("w"), F.first("prefix").alias("prefix")))
+    scratch.drop(wide)
     key = lambda t: F.shiftrightunsigned(F.element_at("w", t // 2 + 1), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     some = [F.element_at("w", i + 1).alias(f"w{i}") for i in range(carried)]
     bits = most_bits(similarity, 64 * carried)
@@ -583,7 +586,7 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, tables:
     wanted = scratch.keep(candidates.join(nodes.select("node", "size", "w", "first.d", "first.h"), "node"))
     links = verified_links(wanted, keyed, scratch, k, similarity, most_bits(similarity, 64 * longs), verified)
     label = scratch.keep(members(scratch.keep(links), nodes.select("node", F.col("first.d").alias("least")), scratch))
-    return rows.select("d", "h", "node").join(label, F.col("node") == F.col("l_node")).select("d", "h", F.col("component_id").alias("component_d"), "root").distinct()
+    return rows.join(label, F.col("node") == F.col("l_node")).select("d", "h", F.col("component_id").alias("component_d"), "root").distinct()
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -136,6 +137,38 @@ def test_large_clusters_and_common_shingles(spark):
         assert got == want
 
 
+def alike(docs):
+    """The smallest id that pairs of a similarity of at least 0.8 reach, from all pairs."""
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))) for _, t in docs]
+    pairs = [(a, b) for b in range(len(docs)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = {x: min(x, y) for star in graph.contract(iter(pairs)) for x, y in star}
+    return {i: root.get(i, i) for i, _ in docs}
+
+
+def test_links_between_nodes_of_different_leaders(spark):
+    """Chains in components of which each is larger than a task: two nodes, each alike another leader only, are alike."""
+    rng = random.Random(11)
+    many = []
+    for _ in range(24):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(64 + 6 * 9)]
+        many += [(len(many) + i, " ".join(text[6 * i : 6 * i + 64])) for i in range(10)]
+    want = alike(many)
+    assert len(set(want.values())) == 24
+    assert {r.d: r.component_d for r in simhash.near_copies(docs(spark, many), verified=100).collect()} == want
+
+
+def test_long_texts_that_no_table_pairs(spark):
+    """With few tables SimHash misses many pairs of long texts at the threshold; none is lost."""
+    rng = random.Random(13)
+    many = []
+    for _ in range(80):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(184 + 20)]
+        many += [(len(many), " ".join(text[:184])), (len(many) + 1, " ".join(text[20:]))]
+    want = alike(many)
+    assert len(set(want.values())) == 80
+    assert {r.d: r.component_d for r in simhash.near_copies(docs(spark, many), tables=6).collect()} == want
+
+
 def test_spread():
     rng = np.random.default_rng(5)
     for n, p in ((1, 0.5), (40, 0.03), (200, 0.004), (60, 0.9)):
@@ -237,6 +270,17 @@ def test_sketch_keeps_one_fraction_of_every_text():
     assert sum(sketch.sketch(" ".join(words[i : i + 14]).encode(), h).containment(whole) == 1 for i in range(0, 4800, 16)) >= 297
 
 
+def test_memory_of_joined_ids():
+    """A worker's arrays while it tokenises a batch of 16 MB stay below 60 MB."""
+    coder = packing.WordIds(packing.vocabulary_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words of a text " * 100] * 8000)], ["text"])
+    tracemalloc.start()
+    n = sum(len(coder.encode(part.column(0))[1]) - 1 for part in packing.slices(batch, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8000 and peak < 60_000_000
+
+
 def test_packing(spark, empty):
     tok = packing._tokenizer(packing.vocabulary_path())
     odd = [*ODD, (50, "A<|endoftext|>b it's I'M \x1cx\x85y e\u0301 J\u030c. \u03a3, <|ENDOFTEXT|>.")]
