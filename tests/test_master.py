@@ -157,6 +157,32 @@ def test_fuzzy_against_a_loop(spark):
     assert sure == {i: v for i, v in want.items() if v[1] >= 0.8}
 
 
+def test_fuzzy_by_segments_against_a_loop(spark):
+    """Names of 1 to 30 characters with up to six edits, of which the best are ties, near the threshold or below it."""
+    rng = random.Random(8)
+    known = sorted({"a" + "".join(rng.choice("abc1 ") for _ in range(rng.randrange(30))).rstrip() for _ in range(150)})
+
+    def edited(name):
+        chars = list(name)
+        for _ in range(rng.randrange(1, 7)):
+            at = rng.randrange(1, len(chars) + 1)
+            chars[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "1"])
+        return "".join(chars)
+
+    asked = sorted({edited(rng.choice(known)) for _ in range(300)} - set(known))
+    names = spark.createDataFrame([(k, k.upper(), i) for i, k in enumerate(known)], "norm string, n_name string, n_pos int")
+    rows = spark.createDataFrame(list(enumerate(asked)), "cand_idx long, norm string")
+    want = {}
+    for i, a in enumerate(asked):
+        score, at = max((SequenceMatcher(None, a, k).ratio(), -j) for j, k in enumerate(known))
+        want[i] = (known[-at].upper(), score)
+    assert {r.cand_idx: (r.f_name, r.f_score) for r in J.fuzzy(rows, names, "cand_idx", exact_best=True).collect()} == want
+    for threshold in (0.8, 0.9):
+        close = {i: v for i, v in want.items() if v[1] >= threshold}
+        assert len(close) > 50
+        assert {r.cand_idx: (r.f_name, r.f_score) for r in J.fuzzy(rows, names, "cand_idx", threshold).collect()} == close
+
+
 def batch_file(tmp_path, companies):
     path = tmp_path / "records.json"
     path.write_text(json.dumps({"run": {"x": "y"}, "companies": companies}), encoding="utf-8-sig")
