@@ -183,6 +183,18 @@ def test_fuzzy_by_segments_against_a_loop(spark):
         assert {r.cand_idx: (r.f_name, r.f_score) for r in J.fuzzy(rows, names, "cand_idx", threshold).collect()} == close
 
 
+def test_fuzzy_compares_few_names(spark, monkeypatch):
+    """Candidates that have a close name are not compared with all names of their first character."""
+    seen = []
+    real = J.ratio
+    monkeypatch.setattr(J, "ratio", lambda a, b: seen.append(1) or real(a, b))
+    monkeypatch.setattr(J, "shared_bound", lambda a, b: pytest.fail("all pairs"))
+    known = spark.range(3000).selectExpr("struct(0, id) AS pos", "concat('Supplier#', lpad(id, 9, '0')) AS name", "'' AS url")
+    asked = spark.range(3000).selectExpr("id AS cand_idx", "concat('Suppier#', lpad(id, 9, '0'), ' AG') AS name", "'' AS url")
+    got = J.match(asked, known).collect()
+    assert len(got) == 3000 and seen and all(r.is_duplicate and r.matched_company == f"Supplier#{r.cand_idx:09}" and r.score == 34 / 35 for r in got)
+
+
 def batch_file(tmp_path, companies):
     path = tmp_path / "records.json"
     path.write_text(json.dumps({"run": {"x": "y"}, "companies": companies}), encoding="utf-8-sig")
