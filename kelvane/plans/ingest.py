@@ -71,7 +71,7 @@ def ingest(spark: SparkSession, store: VersionStore | WorkbookStore, path: str,
 
 def _report(plan: M.MergePlan, batch: S.Batch, path: str, version: str, n_new: int, limit: int = 50) -> str:
     """Counts of everything, and the first ``limit`` lines of each list."""
-    matches = plan.matches.where("is_duplicate").orderBy("entry_idx").select("company", "matched_company", "reason")
+    matches = plan.decided.where("is_duplicate").orderBy("entry_idx").select("company", "matched_company", "reason")
     enriched = [f"  - {r[0]} -> {r[1]} ({r[2]})" for r in matches.limit(limit).collect()]
     created = plan.new_rows.where("record_pos = 0")
     new = [r[0] for r in created.orderBy("append_seq").select("company").limit(limit).collect()]

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from kelvane.config import ConflictError, IngestError, SchemaError
+from kelvane.config import FIELDS, ConflictError, IngestError, SchemaError
 from kelvane.functions.vocab import Vocabulary
 from kelvane.operators import blocks as B
 from kelvane.operators import edits as E
@@ -13,6 +13,7 @@ from kelvane.operators import match as J
 from kelvane.operators import merge as M
 from kelvane.operators import profile as P
 from kelvane.operators import quality as Q
+from kelvane.plans import catalog_master  # noqa: F401
 from kelvane.plans.ingest import apply_basket, ingest
 from kelvane.sources import store as S
 from kelvane.sources.xlsx import read_master
@@ -195,6 +196,37 @@ def test_fuzzy_compares_few_names(spark, monkeypatch):
     assert len(got) == 3000 and seen and all(r.is_duplicate and r.matched_company == f"Supplier#{r.cand_idx:09}" and r.score == 34 / 35 for r in got)
 
 
+def test_plan_compares_few_names(spark, monkeypatch):
+    """A plan doesn't compare new entities with all names; the matches do when asked for, and decide alike."""
+    real, listed = J.shared_bound, []
+    monkeypatch.setattr(J, "shared_bound", lambda a, b: listed.append(1) or real(a, b))
+    planned = merging_names(spark)
+    decided = {r.entry_idx: r for r in planned.decided.collect()}
+    assert planned.new_rows.count() == 1 and planned.updates.count() == 1 and not listed
+    assert [decided[i].is_duplicate for i in range(3)] == [True, False, False] and decided[0].matched_company == "Quillfern"
+    assert decided[1].score is None and (decided[2].reason, decided[2].score) == (J.NO_NAME, 0.0)
+    every = {r.entry_idx: r for r in planned.matches.collect()}
+    assert listed and [every[i].is_duplicate for i in range(3)] == [True, False, False] and every[0] == decided[0]
+    best = max((SequenceMatcher(None, "quarnfell", k).ratio(), k) for k in ("quillfern",))
+    assert (every[1].matched_company, every[1].score, every[1].reason) == ("Quillfern", best[0], f"kein Treffer (bester Score {best[0]:.2f})")
+
+
+@pytest.mark.parametrize("name", ["q_apply_plan"])
+def test_planning_queries_compare_few_names(spark, monkeypatch, name):
+    """No query on a plan lists all pairs of names."""
+    from kelvane.plans.catalog import QUERIES
+
+    monkeypatch.setattr(J, "shared_bound", lambda a, b: pytest.fail("all pairs"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def merging_names(spark):
+    entries = spark.createDataFrame([(0, "Quillfernn", 0.9, []), (1, "Quarnfell", 0.9, []), (2, " ", 0.1, [])], "entry_idx long, company string, confidence double, sources array<string>")
+    kinds = "entry_idx long, record_pos int, confidence double, source string, " + ", ".join(f"{f} string" for f in FIELDS)
+    records = spark.createDataFrame([(i, 0, 0.9, "", *[{"company": n, "stage": "S", "row_kind": "Company information"}.get(f) for f in FIELDS]) for i, n in enumerate(("Quillfernn", "Quarnfell", " "))], kinds)
+    return M.plan(master_frame(spark), entries, records, today=DAY)
+
+
 def batch_file(tmp_path, companies):
     path = tmp_path / "records.json"
     path.write_text(json.dumps({"run": {"x": "y"}, "companies": companies}), encoding="utf-8-sig")
