@@ -211,7 +211,7 @@ def test_plan_compares_few_names(spark, monkeypatch):
     assert (every[1].matched_company, every[1].score, every[1].reason) == ("Quillfern", best[0], f"kein Treffer (bester Score {best[0]:.2f})")
 
 
-@pytest.mark.parametrize("name", ["q_apply_plan", "q_match_cascade", "q_plan_rows", "q_plan_skipped"])
+@pytest.mark.parametrize("name", ["q_apply_plan", "q_match_cascade", "q_plan_rows", "q_plan_skipped", "q_plan_summary"])
 def test_planning_queries_compare_few_names(spark, monkeypatch, name):
     """No query on a plan lists all pairs of names."""
     from kelvane.plans.catalog import QUERIES
