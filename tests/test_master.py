@@ -196,6 +196,17 @@ def test_fuzzy_compares_few_names(spark, monkeypatch):
     assert len(got) == 3000 and seen and all(r.is_duplicate and r.matched_company == f"Supplier#{r.cand_idx:09}" and r.score == 34 / 35 for r in got)
 
 
+def test_names_are_compared_in_many_tasks(spark, monkeypatch):
+    """Few names are few bytes, but the comparisons and the normalised names are dealt to all cores."""
+    tasks, cores = [], spark.sparkContext.defaultParallelism
+    real = J._best
+    monkeypatch.setattr(J, "_best", lambda pairs: tasks.append(pairs.rdd.getNumPartitions()) or real(pairs))
+    known = spark.range(500).selectExpr("struct(0, id) AS pos", "md5(cast(id AS string)) AS name", "'' AS url")
+    asked = spark.range(500).selectExpr("id AS cand_idx", "concat(substring(md5(cast(id AS string)), 1, 9), substring(md5(cast(id AS string)), 11), ' AG') AS name", "'' AS url")
+    got = J.match(asked, known)
+    assert got.where("is_duplicate and score = 62 / 63D").count() == 500 and tasks == [2 * cores]
+
+
 def test_plan_compares_few_names(spark, monkeypatch):
     """A plan doesn't compare new entities with all names; the matches do when asked for, and decide alike."""
     real, listed = J.shared_bound, []
