@@ -231,6 +231,21 @@ def test_planning_queries_compare_few_names(spark, monkeypatch, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
 
 
+def test_plan_frames_are_built_when_asked_for(spark):
+    """New rows build neither the states of fields nor updates, and what is skipped builds no updates."""
+    planned = merging_names(spark)
+    assert planned.new_rows.count() == 1 and not {"updates", "skipped", "filled", "_fills"} & set(vars(planned))
+    assert [(r.who, r.reason) for r in planned.skipped.collect()] == [(" ", "Confidence 0.10 unter Schwelle")] and not {"updates", "filled"} & set(vars(planned))
+
+
+@pytest.mark.parametrize("zero_is_empty", [True, False])
+def test_blank_fields_as_text(spark, zero_is_empty):
+    values = [None, "", " ", "\u00a0\t\n", "0", " 0.0 ", "-0e0", "1", "a\n", "\n a", "\\S", "0x"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = rows.select(F.expr(M._blank("v", zero_is_empty)).alias("a"), M.X.is_blank(F.col("v"), zero_is_empty).alias("b"), F.expr(M._given("v")).alias("c"), (~M.X.is_missing(F.col("v"))).alias("d")).collect()
+    assert [(r.a, r.c) for r in got] == [(r.b, r.d) for r in got] and len({r.a for r in got}) == len({r.c for r in got}) == 2
+
+
 def merging_names(spark):
     entries = spark.createDataFrame([(0, "Quillfernn", 0.9, []), (1, "Quarnfell", 0.9, []), (2, " ", 0.1, [])], "entry_idx long, company string, confidence double, sources array<string>")
     kinds = "entry_idx long, record_pos int, confidence double, source string, " + ", ".join(f"{f} string" for f in FIELDS)
