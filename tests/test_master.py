@@ -236,6 +236,8 @@ def test_plan_frames_are_built_when_asked_for(spark):
     planned = merging_names(spark)
     assert planned.new_rows.count() == 1 and not {"updates", "skipped", "filled", "_fills"} & set(vars(planned))
     assert [(r.who, r.reason) for r in planned.skipped.collect()] == [(" ", "Confidence 0.10 unter Schwelle")] and not {"updates", "filled"} & set(vars(planned))
+    # The states of fields are found on all cores, however few bytes the rows are.
+    assert planned._fills.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
 
 
 @pytest.mark.parametrize("zero_is_empty", [True, False])
