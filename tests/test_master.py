@@ -238,6 +238,11 @@ def test_plan_frames_are_built_when_asked_for(spark):
     assert [(r.who, r.reason) for r in planned.skipped.collect()] == [(" ", "Confidence 0.10 unter Schwelle")] and not {"updates", "filled"} & set(vars(planned))
     # The states of fields are found on all cores, however few bytes the rows are.
     assert planned._fills.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    # Counts build no rows.
+    got = planned.summary().first().asDict()
+    assert not {"updates", "filled"} & set(vars(planned))
+    assert got == {"new_rows": planned.new_rows.count(), "updated_rows": planned.updates.count(), "filled_fields": planned.filled.count(), "skipped": planned.skipped.count()}
+    assert got == {"new_rows": 1, "updated_rows": 1, "filled_fields": 1, "skipped": 1}
 
 
 @pytest.mark.parametrize("zero_is_empty", [True, False])
